@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -22,6 +22,11 @@ def ratio(top: Column, bottom: Column, empty: float | None = 0.0) -> Column:
     return F.when(bottom != 0, top.cast("double") / bottom.cast("double")).otherwise(F.lit(empty).cast("double"))
 
 
+def let(value: Column, build: Callable[[Column], Column]) -> Column:
+    """`build(value)` with `value` evaluated once, also where `build` uses it inside lambdas."""
+    return F.element_at(F.transform(F.array(value), build), 1)
+
+
 def top_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int, rank: str = "rank") -> DataFrame:
     """First `k` rows per key with a 0-based rank; Spark prunes to k rows before the shuffle."""
     window = Window.partitionBy(*keys).orderBy(*order)
@@ -32,10 +37,6 @@ def first_row(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> Da
     return top_rows(df, keys, order, 1, "_first").drop("_first")
 
 
-def position_window(*keys: str):
-    return Window.partitionBy(*keys)
-
-
 def matches(text: Column, pattern: str) -> Column:
     """Case-insensitive regex search."""
     return F.coalesce(text, F.lit("")).rlike("(?i)" + pattern)

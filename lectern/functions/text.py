@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from lectern.functions import fixed_values as V
-from lectern.functions.common import matches
+from lectern.functions.common import let, matches
 
 
 def _text(value: Column | None) -> Column:
@@ -72,14 +72,20 @@ def title_tokens(text: Column) -> Column:
 
 def set_similarity(a: Column, b: Column) -> Column:
     """Half Jaccard, half containment of two token sets."""
-    shared = F.size(F.array_intersect(a, b))
-    jaccard = shared / F.size(F.array_union(a, b))
-    contained = shared / F.least(F.size(a), F.size(b))
-    return F.when(shared > 0, 0.5 * jaccard + 0.5 * contained).otherwise(F.lit(0.0))
+
+    def blend(s: Column) -> Column:
+        shared, n, m = s["shared"], s["n"], s["m"]
+        return F.when(shared > 0, 0.5 * (shared / (n + m - shared)) + 0.5 * (shared / F.least(n, m))).otherwise(0.0)
+
+    counts = F.struct(
+        F.size(F.array_intersect(a, b)).alias("shared"), F.size(a).alias("n"), F.size(b).alias("m")
+    )
+    return let(counts, blend)
 
 
 def title_similarity(query: Column, title: Column) -> Column:
-    return set_similarity(title_tokens(query), title_tokens(title))
+    sets = F.struct(title_tokens(query).alias("q"), title_tokens(title).alias("t"))
+    return let(sets, lambda s: set_similarity(s["q"], s["t"]))
 
 
 def chapter_mentions(text: Column) -> Column:
@@ -165,6 +171,10 @@ def clean_clause(clause: Column) -> Column:
 def decompose(question: Column) -> Column:
     """A question as a struct: concept, flags and weighted sub-queries."""
     whole = F.regexp_replace(_text(question), r"^\s+|\s+$", "")
+    return let(whole, _decompose_trimmed)
+
+
+def _decompose_trimmed(whole: Column) -> Column:
     split = F.transform(F.split(whole, "(?i)" + V.CLAUSE_SPLIT), lambda c: F.regexp_replace(c, r"^\s+|\s+$", ""))
     clauses = F.transform(
         F.filter(split, lambda c: c != ""),
@@ -174,40 +184,56 @@ def decompose(question: Column) -> Column:
             (matches(c, V.WANTS_EXAMPLE) | matches(c, V.WANTS_APPLICATION)).alias("how"),
         ),
     )
+    facts = F.struct(
+        whole.alias("whole"),
+        clauses.alias("clauses"),
+        clean_clause(whole).alias("stripped"),
+        matches(whole, V.WANTS_EXAMPLE).alias("example"),
+        matches(whole, V.WANTS_APPLICATION).alias("application"),
+    )
+    return let(facts, lambda f: let(_concept(f), lambda concept: _subqueries(f, concept)))
+
+
+def _concept(f: Column) -> Column:
+    """First clause that is a short phrase of its own and does not merely say how to answer."""
     candidates = F.filter(
-        clauses,
+        f["clauses"],
         lambda c: (F.length(c["text"]) >= 3)
         & (~c["how"] | (c["i"] == 0))
         & (F.size(words(c["text"])) <= V.CONCEPT_MAX_WORDS),
     )
-    stripped = clean_clause(whole)
-    concept = F.coalesce(
-        F.try_element_at(candidates, F.lit(1))["text"], F.when(stripped != "", stripped).otherwise(whole)
-    )
-    extra = F.filter(
-        clauses, lambda c: (c["i"] > 0) & (c["text"] != "") & ~c["how"] & (F.lower(c["text"]) != F.lower(concept))
-    )
-    example, application = matches(whole, V.WANTS_EXAMPLE), matches(whole, V.WANTS_APPLICATION)
-    single = (F.size(clauses) <= 1) & ~example & ~application & (F.size(extra) == 0)
+    fallback = F.when(f["stripped"] != "", f["stripped"]).otherwise(f["whole"])
+    return F.coalesce(F.try_element_at(candidates, F.lit(1))["text"], fallback)
+
 
+def _subqueries(f: Column, concept: Column) -> Column:
     def sub(text: Column, weight: float, kind: str) -> Column:
         return F.struct(text.alias("text"), F.lit(weight).alias("weight"), F.lit(kind).alias("kind"))
 
-    compound = F.array_compact(
-        F.array(
-            sub(concept, V.CONCEPT_WEIGHT, "concept"),
-            F.when(application, sub(F.concat(concept, F.lit(" real world application")), V.SECONDARY_WEIGHT, "application")),
-            F.when(example, sub(F.concat(concept, F.lit(" example")), V.SECONDARY_WEIGHT, "example")),
-        )
+    whole, example, application = f["whole"], f["example"], f["application"]
+    extra = F.filter(
+        f["clauses"],
+        lambda c: (c["i"] > 0) & (c["text"] != "") & ~c["how"] & (F.lower(c["text"]) != F.lower(concept)),
     )
-    compound = F.concat(compound, F.transform(extra, lambda c: sub(c["text"], V.SECONDARY_WEIGHT, "part")))
-    return F.struct(
-        F.when(whole == "", F.lit("")).otherwise(concept).alias("concept"),
-        example.alias("wants_example"),
-        application.alias("wants_application"),
-        (~single & (F.size(compound) > 1)).alias("is_compound"),
-        F.when(whole == "", F.slice(compound, 1, 0))
-        .when(single, F.array(sub(whole, V.CONCEPT_WEIGHT, "concept")))
-        .otherwise(compound)
-        .alias("subqueries"),
+    asked = F.array(
+        sub(concept, V.CONCEPT_WEIGHT, "concept"),
+        F.when(application, sub(F.concat(concept, F.lit(" real world application")), V.SECONDARY_WEIGHT, "application")),
+        F.when(example, sub(F.concat(concept, F.lit(" example")), V.SECONDARY_WEIGHT, "example")),
     )
+    parts = F.transform(extra, lambda c: sub(c["text"], V.SECONDARY_WEIGHT, "part"))
+
+    def result(compound: Column) -> Column:
+        # clauses beyond the first that add nothing still leave the question compound in wording only
+        single = (F.size(f["clauses"]) <= 1) & ~example & ~application & (F.size(compound) == 1)
+        return F.struct(
+            F.when(whole == "", F.lit("")).otherwise(concept).alias("concept"),
+            example.alias("wants_example"),
+            application.alias("wants_application"),
+            (~single & (F.size(compound) > 1)).alias("is_compound"),
+            F.when(whole == "", F.slice(compound, 1, 0))
+            .when(single, F.array(sub(whole, V.CONCEPT_WEIGHT, "concept")))
+            .otherwise(compound)
+            .alias("subqueries"),
+        )
+
+    return let(F.concat(F.array_compact(asked), parts), result)

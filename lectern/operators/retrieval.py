@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions import fixed_values as V
 from lectern.functions import text as X
-from lectern.functions.common import exact_sum, first_row, matches, top_rows
+from lectern.functions.common import exact_sum, first_row, let, matches, top_rows
 from lectern.session import cut_lineage
 
 
@@ -285,7 +285,10 @@ def min_window(tokens: Column, wanted: Column) -> Column:
     One pass: it keeps the last position of each matched term; at every match the best window ends
     there and starts at the oldest of those positions.
     """
-    matched = F.array_intersect(wanted, tokens)
+    return let(F.array_intersect(wanted, tokens), lambda matched: _window_of(tokens, matched))
+
+
+def _window_of(tokens: Column, matched: Column) -> Column:
     places = F.filter(
         F.transform(tokens, lambda t, i: F.struct(F.array_position(matched, t).alias("t"), i.cast("long").alias("i"))),
         lambda p: p["t"] > 0,
@@ -295,10 +298,14 @@ def min_window(tokens: Column, wanted: Column) -> Column:
     )
 
     def step(state: Column, place: Column) -> Column:
-        last = F.transform(state["last"], lambda v, j: F.when(j + 1 == place["t"], place["i"]).otherwise(v))
-        oldest = F.array_min(last)
-        here = F.when(oldest >= 0, place["i"] - oldest + 1)
-        return F.struct(last.alias("last"), F.least(state["best"], here).alias("best"))
+        seen = F.transform(state["last"], lambda v, j: F.when(j + 1 == place["t"], place["i"]).otherwise(v))
+
+        def close(last: Column) -> Column:
+            oldest = F.array_min(last)
+            here = F.when(oldest >= 0, place["i"] - oldest + 1)
+            return F.struct(last.alias("last"), F.least(state["best"], here).alias("best"))
+
+        return let(seen, close)
 
     return F.aggregate(places, start, step, lambda s: s["best"])
 
@@ -306,22 +313,31 @@ def min_window(tokens: Column, wanted: Column) -> Column:
 def rerank_score(terms: Column, phrase: Column, tokens: Column) -> Column:
     """Coverage, proximity and phrase bonus in [0, 1] of one passage for one query."""
     names = F.transform(terms, lambda t: t["token"])
-    matched = F.array_intersect(names, tokens)
+    return F.when(F.size(tokens) == 0, 0.0).otherwise(
+        let(F.array_intersect(names, tokens), lambda matched: _score_matched(terms, phrase, tokens, matched))
+    )
+
+
+def _score_matched(terms: Column, phrase: Column, tokens: Column, matched: Column) -> Column:
     total = F.aggregate(terms, F.lit(0.0), lambda s, t: s + t["idf"])
     hit = F.aggregate(
         terms, F.lit(0.0), lambda s, t: s + F.when(F.array_contains(matched, t["token"]), t["idf"]).otherwise(0.0)
     )
-    coverage = hit / F.when(total == 0, 1.0).otherwise(total)
     n = F.size(matched)
     proximity = (
-        F.when(n > 1, n / F.greatest(min_window(tokens, names), n.cast("long")))
+        F.when(n > 1, n / F.greatest(_window_of(tokens, matched), n.cast("long")))
         .when(n == 1, V.RERANK_SINGLE_PROXIMITY)
         .otherwise(0.0)
     )
     bonus = F.when((phrase != "") & F.contains(F.array_join(tokens, " "), phrase), V.RERANK_PHRASE_BONUS).otherwise(0.0)
-    raw = V.RERANK_COVERAGE * coverage + V.RERANK_PROXIMITY * coverage * proximity + bonus
-    score = F.when(F.size(tokens) == 0, 0.0).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), raw)))
-    return F.round(score, 6)
+
+    def blend(s: Column) -> Column:
+        return V.RERANK_COVERAGE * s["cov"] + V.RERANK_PROXIMITY * s["cov"] * s["prox"] + s["bonus"]
+
+    parts = F.struct(
+        (hit / F.when(total == 0, 1.0).otherwise(total)).alias("cov"), proximity.alias("prox"), bonus.alias("bonus")
+    )
+    return F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.0), let(parts, blend))), 6)
 
 
 def lexical_rerank(
@@ -447,7 +463,7 @@ def search_batch(
     config = config or SearchConfig()
     index = index or build_index(chunks)
     key = ["user_id", "q_id"]
-    parsed = questions.withColumn("d", X.decompose(F.col("q")))
+    parsed = questions.select(*key, "course_id", "q", F.explode(F.array(X.decompose(F.col("q")))).alias("d"))
     parsed = parsed.select(*key, "course_id", "q", "d.concept", "d.is_compound", "d.subqueries")
     compound = F.lit(config.decompose) & F.col("is_compound")
     whole = F.array(F.struct(F.col("q").alias("text"), F.lit(1.0).alias("weight"), F.lit("whole").alias("kind")))

@@ -13,7 +13,7 @@ from lectern.sources.gold import containing_chunks
 KEY = ["user_id", "q_id"]
 
 
-def index_of(t, stored=False):
+def index_of(t, stored=True):
     return R.build_index(t("chunks_v"), stored)
 
 

@@ -177,7 +177,15 @@ class Tables:
                 inputs = {dep: self(dep) for dep in _dependencies(sql)}
                 self._built[name] = self.spark.sql(sql, **inputs)
             elif name in BASE_TABLES:
-                self._built[name] = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+                self._built[name] = self._read(name)
             else:
                 raise KeyError(name)
         return self._built[name]
+
+    def _read(self, name: str) -> DataFrame:
+        df = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        cores = self.spark.sparkContext.defaultParallelism
+        # text work is CPU-bound: an input of fewer splits than cores (a small file) is spread first
+        if name == "documents" and df.rdd.getNumPartitions() < cores:
+            df = df.repartition(cores)
+        return df
