@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = "retrieval evaluation".split()
+MODULES = "retrieval evaluation ingest text".split()
 
 
 def load():

@@ -58,6 +58,53 @@ BINDINGS: dict[str, str] = {
     "courses_v": """
         SELECT user_id, course_id, MAX(CASE WHEN course_id IN ('en', 'fr') THEN 1 ELSE 0 END) = 1 AS has_data_link
         FROM {chunks_v} GROUP BY user_id, course_id""",
+    # --- page text and files --------------------------------------------------
+    "marker_docs_v": """
+        SELECT doc_id, '<!-- chapter: ' || (doc_id % 12) || ' | title: Part ' || (doc_id % 7) || ' -->' || chr(10)
+               || '<!-- page: ' || (doc_id % 300 + 1) || ' -->' || chr(10)
+               || replace(text, '.' || chr(10), '.' || chr(10) || '<!-- section: S' || (doc_id % 5) || ' -->' || chr(10))
+               || chr(10) || '<!-- Chapter:  ' || (doc_id % 9) || '|title:  Coda  -->' || chr(10) || lang AS text
+        FROM {documents}""",
+    "heading_pages_v": """
+        SELECT source AS source_id, doc_id AS page,
+               CASE WHEN doc_id % 17 = 0 THEN '   ' ELSE
+               CASE doc_id % 3 WHEN 0 THEN '12' WHEN 1 THEN 'MARKETS AND PRICES' ELSE 'Plain first line' END || chr(10) ||
+               CASE doc_id % 7 WHEN 0 THEN 'Chapter ' || (doc_id % 30 + 1) || ': Title ' || (doc_id % 11)
+                    WHEN 1 THEN 'CHAPTER XIV' WHEN 2 THEN (doc_id % 9 + 1) || '.' || (doc_id % 8) || ' Section name'
+                    WHEN 3 THEN 'chapter 7 emphasizes the role of symbols' WHEN 4 THEN 'Chapter 12'
+                    WHEN 5 THEN 'Chapter VI The Return' ELSE '' END || chr(10) || text END AS text
+        FROM {documents}""",
+    "math_pages_v": """
+        SELECT doc_id, 'u' || (doc_id % 3) AS user_id, source AS source_id, doc_id % 90 + 1 AS page,
+               CASE doc_id % 6 WHEN 0 THEN 'Definition 3.1 A market clears.' || chr(10) || chr(10)
+                    WHEN 1 THEN '| a | b |' || chr(10) || '| 1 | 2 |' || chr(10) || chr(10)
+                    WHEN 2 THEN 'y = ax^2 + b' || chr(10) || chr(10) WHEN 3 THEN 'U(x1, x2) = x1^a' || chr(10) || '(4)' || chr(10) ELSE '' END ||
+               replace(replace(text, '.' || chr(10), '.' || chr(10) || chr(10)), '. ',
+                   '.' || chr(10) || 'p1x1 + p2x2 = m' || (doc_id % 9) || chr(10) || '3x_' || (doc_id % 4) || chr(10) || '(2.' || (doc_id % 9) || ')' || chr(10)) AS text
+        FROM {documents}""",
+    "outline_v": """
+        SELECT 'b' || (o_custkey % 40) AS source_id, o_orderkey % 700 AS page, o_orderkey AS entry_no,
+               o_orderkey % 3 + 1 AS level,
+               CASE o_custkey % 6 WHEN 0 THEN 'Chapter ' || (o_orderkey % 40) || ' The Market' WHEN 1 THEN 'Chapter XIV.'
+                    WHEN 2 THEN 'p. ' || (o_orderkey % 999) WHEN 3 THEN ' Supply ' WHEN 4 THEN 'chapter 5' ELSE 'Demand' END AS title
+        FROM {orders}""",
+    "book_pages_v": """
+        SELECT 'b' || (l_suppkey % 40) AS source_id, l_partkey % 900 + 1 AS page FROM {lineitem}""",
+    "files_v": """
+        SELECT page_id, 'u' || (page_id % 3) AS user_id, 'ECON ' || (page_id % 5) AS course_id, html AS content,
+               CASE page_id % 6 WHEN 0 THEN 'Lecture_' WHEN 1 THEN 'Intro to Book ' WHEN 2 THEN 'handout-' WHEN 3 THEN 'bbplus slides '
+                    WHEN 4 THEN '' ELSE 'Paper (v2) ' END || regexp_replace(url, 'https?://', '') ||
+               CASE page_id % 4 WHEN 0 THEN '.pdf' WHEN 1 THEN '.DOCX' WHEN 2 THEN '.md' ELSE '' END AS filename
+        FROM {pages}""",
+    "file_reports_v": """
+        SELECT event_id, 'u' || (user_id % 20) AS user_id, 'c' || (event_id % 5) AS course_id, 'file' || event_id AS filename,
+               CASE event_type WHEN 'error' THEN 'failed' WHEN 'signup' THEN 'unsupported' ELSE 'ok' END AS status,
+               CASE WHEN event_type = 'error' THEN 'RuntimeError' ELSE 'ExtractionError' END AS error_kind,
+               CASE event_id % 5 WHEN 0 THEN 'Cannot open empty file' WHEN 1 THEN 'document is Encrypted'
+                    WHEN 2 THEN 'no such thing: ''/srv/uploads/u1/x y.pdf'' for /tmp/a' WHEN 3 THEN 'Unsupported file type .zip'
+                    ELSE 'bad xref at ' || event_type END AS error,
+               CAST(floor(value) AS BIGINT) AS chunks, event_id % 40 AS pages
+        FROM {events}""",
     # --- schedule, engagement, calendar ------------------------------------------
     "schedule_v": """
         SELECT o_orderkey AS id, 'u' || (o_custkey % 20) AS user_id,
