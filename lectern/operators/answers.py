@@ -11,6 +11,8 @@ from lectern.functions import fixed_values as V
 from lectern.functions import pages as P
 from lectern.functions import text as X
 from lectern.functions.common import first_row
+from lectern.session import cut_lineage
+
 
 def _candidates(passages: DataFrame, questions: DataFrame, key: Sequence[str]) -> DataFrame:
     """Sentences that could be picked, with the question terms they hold."""
@@ -35,7 +37,7 @@ def extractive_answer(passages: DataFrame, questions: DataFrame, key: Sequence[s
     key = list(key)
     pool = _candidates(passages, questions, key).withColumn("course", P.strip(F.split_part(F.expr("substring(label, 2)"), F.lit(","), F.lit(1))))
     # the same sentence can be said twice: only its best place can ever be chosen
-    pool = first_row(pool, [*key, "course", "sentence"], [F.asc("rank"), F.asc("pos")])
+    pool = cut_lineage(first_row(pool, [*key, "course", "sentence"], [F.asc("rank"), F.asc("pos")]))
     state = pool.select(*key).distinct().withColumns(
         {"covered": F.array().cast("array<string>"), "taken": F.array().cast("array<string>"), "locked": F.lit(None).cast("string")}
     )
@@ -47,7 +49,7 @@ def extractive_answer(passages: DataFrame, questions: DataFrame, key: Sequence[s
             (F.col("locked").isNull() | (F.col("course") == F.col("locked"))) & ~F.array_contains("taken", F.col("sentence"))
         )
         ranked = open_rows.withColumn("gain", F.round(gain, 9)).where("gain > 0")
-        best = first_row(ranked, key, [F.desc("gain"), F.asc("rank"), F.asc("pos")])
+        best = cut_lineage(first_row(ranked, key, [F.desc("gain"), F.asc("rank"), F.asc("pos")]))
         chosen = best.select(*key, F.lit(step).alias("step"), "rank", "label", "sentence")
         picks = chosen if picks is None else picks.unionByName(chosen)
         state = best.select(

@@ -11,13 +11,16 @@ from collections.abc import Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lectern.functions import fixed_values as V
 from lectern.functions import pages as P
 from lectern.functions import text as X
 
+_RANGES = T.ArrayType(T.StructType([T.StructField("first", T.IntegerType()), T.StructField("last", T.IntegerType())]))
 
-@F.pandas_udf("array<int>")
+
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
 def fill_groups(sizes: pd.Series, breaks: pd.Series, limit: pd.Series) -> pd.Series:
     """Group number of each element when groups are filled in order up to `limit`.
 
@@ -36,7 +39,7 @@ def fill_groups(sizes: pd.Series, breaks: pd.Series, limit: pd.Series) -> pd.Ser
     return pd.Series([assign(s, b, c) for s, b, c in zip(sizes, breaks, limit)])
 
 
-@F.pandas_udf("array<struct<first:int,last:int>>")
+@F.pandas_udf(_RANGES)
 def fill_ranges(sizes: pd.Series, limit: pd.Series, overlap: pd.Series) -> pd.Series:
     """Index ranges of consecutive elements within `limit`, each repeating up to `overlap` of the last."""
 

@@ -105,6 +105,71 @@ BINDINGS: dict[str, str] = {
                     ELSE 'bad xref at ' || event_type END AS error,
                CAST(floor(value) AS BIGINT) AS chunks, event_id % 40 AS pages
         FROM {events}""",
+    # --- syllabi ---------------------------------------------------------------
+    "dates_v": """
+        SELECT o_orderkey AS id, o_orderpriority, CAST(o_orderdate AS DATE) AS d,
+               CASE o_orderkey % 7 WHEN 0 THEN 'on ' || CAST(CAST(o_orderdate AS DATE) AS STRING) || ' class'
+                    WHEN 1 THEN extract(month FROM o_orderdate) || '/' || extract(day FROM o_orderdate) || ' review'
+                    WHEN 2 THEN extract(month FROM o_orderdate) || '/' || extract(day FROM o_orderdate) || '/' || (extract(year FROM o_orderdate) % 100)
+                    WHEN 3 THEN split_part('Jan,February,Mar.,April,May,June,Jul,Aug,Sept.,Oct,Nov,Dec', ',', CAST(extract(month FROM o_orderdate) AS INT)) || ' ' || (o_orderkey % 33)
+                    WHEN 4 THEN 'sep 31' WHEN 5 THEN '1998-13-01' ELSE 'TBA' END AS said
+        FROM {orders}""",
+    "syllabi_v": """
+        SELECT o_orderkey AS doc_id, 'u' || (o_custkey % 20) AS user_id,
+               CASE WHEN o_orderkey % 5 = 0 THEN '' ELSE 'ECON ' || (o_orderkey % 900 + 100) || ': Markets' || chr(10) END ||
+               CASE WHEN o_orderkey % 4 = 0 THEN '' ELSE 'Term starts: ' || CAST(CAST(o_orderdate AS DATE) AS STRING) || chr(10) END ||
+               'Semester ends ' || extract(month FROM o_orderdate) || '/' || extract(day FROM o_orderdate) || '/1999' || chr(10) ||
+               CASE o_orderkey % 3 WHEN 0 THEN 'Meets: Tue, Thurs, Fri' WHEN 1 THEN 'Meeting days Mon/Wed' ELSE 'Meets in room' END || chr(10) ||
+               extract(month FROM o_orderdate) || '/' || extract(day FROM o_orderdate) || ' | Supply (ch. ' || (o_orderkey % 40) || ')' || chr(10) ||
+               'Week ' || (o_orderkey % 15 + 1) || ' | Consumer choice, Ch. ' || (o_custkey % 30) || chr(10) ||
+               'Week 3' || chr(10) || 'Oct 12 | Midterm ' || (o_orderkey % 3) || chr(10) || 'Oct ' || (o_orderkey % 35) || ' | Problem set due' || chr(10) ||
+               'Dec 9: Final exam, all chapters' || chr(10) || 'Nov 26 | Thanksgiving break' || chr(10) || 'Office hours 9/14' || chr(10) ||
+               '11/3 | Essay ' || o_orderpriority || chr(10) || 'x' AS text
+        FROM {orders}""",
+    "payload_meetings_v": """
+        SELECT l_orderkey AS doc_id, CASE WHEN l_linenumber % 4 = 0 THEN NULL ELSE CAST(CAST(l_shipdate AS DATE) AS STRING) END AS said,
+               CASE l_linenumber % 5 WHEN 0 THEN 'Thanksgiving holiday' WHEN 1 THEN '  ' ELSE 'Topic ' || l_partkey END AS topic,
+               CASE WHEN l_linenumber % 2 = 0 THEN 'low' ELSE NULL END AS confidence
+        FROM {lineitem}""",
+    "payload_assessments_v": """
+        SELECT l_orderkey AS doc_id, CASE WHEN l_linenumber % 3 = 0 THEN NULL ELSE extract(month FROM l_shipdate) || '/' || extract(day FROM l_shipdate) END AS said,
+               CASE l_suppkey % 5 WHEN 0 THEN 'Problem Set' WHEN 1 THEN 'EXAM' WHEN 2 THEN 'unknown' WHEN 3 THEN 'paper' ELSE NULL END AS kind,
+               CASE WHEN l_quantity > 40 THEN '' ELSE 'Item ' || l_partkey END AS title,
+               CASE l_linenumber % 3 WHEN 0 THEN '0.25' WHEN 1 THEN 'a lot' ELSE NULL END AS weight
+        FROM {lineitem}""",
+    "extraction_a_v": """
+        SELECT id, user_id, course_id, CASE WHEN kind = 'lecture' THEN 'meeting' ELSE 'assessment' END AS section, due, kind, topic AS title, weight FROM {schedule_v}""",
+    "extraction_b_v": """
+        SELECT id, user_id, course_id, section, due, kind, CASE WHEN id % 11 = 0 THEN title || ' (moved)' ELSE ' ' || upper(title) END AS title,
+               CASE WHEN id % 13 = 0 THEN weight + 0.1 ELSE weight END AS weight FROM {extraction_a_v} WHERE id % 7 <> 0""",
+    "link_rows_v": """
+        SELECT user_id, chunk_id AS row_id, course_id,
+               CASE WHEN chunk_id % 31 = 0 THEN '  ' WHEN chunk_id % 29 = 0 THEN 'zzz qqq' ELSE chapter_title || ' (ch. ' || (chunk_id % 25) || ')' END AS query
+        FROM {chunks_v}""",
+    "meeting_texts_v": """
+        SELECT c_custkey AS id, 'u' || (c_custkey % 20) AS user_id, 'c' || (c_nationkey % 6 + 1) AS course_id,
+               CASE c_custkey % 9 WHEN 0 THEN 'MW' WHEN 1 THEN 'TR' WHEN 2 THEN 'Mon/Wed' WHEN 3 THEN 'MTWRF' WHEN 4 THEN 'Tue, Thu'
+                    WHEN 5 THEN 'TuTh' WHEN 6 THEN '' WHEN 7 THEN 'thursday' ELSE 'xx yy' END AS days,
+               CASE c_custkey % 7 WHEN 0 THEN '2:00 pm' WHEN 1 THEN '9:00am' WHEN 2 THEN '14:05' WHEN 3 THEN '7 p.m.' WHEN 4 THEN 'noon' WHEN 5 THEN '12:30 AM' ELSE '' END AS start_time,
+               c_mktsegment AS location, CASE WHEN c_custkey % 2 = 0 THEN 'Section ' || c_nationkey ELSE '' END AS label
+        FROM {customer}""",
+    "key_dates_v": """
+        SELECT o_orderkey AS id, 'u' || (o_custkey % 20) AS user_id, 'c' || (o_orderkey % 7 + 1) AS course_id, 'Event ' || o_orderkey AS title,
+               CASE WHEN o_orderkey % 6 = 0 THEN 'soon' WHEN o_orderkey % 41 = 0 THEN '1998-02-30' ELSE ' ' || CAST(CAST(o_orderdate AS DATE) AS STRING) END AS said,
+               CASE o_orderkey % 4 WHEN 0 THEN 'Exam' WHEN 1 THEN 'project' WHEN 2 THEN 'party' ELSE NULL END AS kind
+        FROM {orders}""",
+    "terms_v": """
+        SELECT user_id, course_id, CASE WHEN MIN(id) % 3 = 0 THEN DATE '1998-01-12' END AS term_start, CASE WHEN MIN(id) % 2 = 0 THEN DATE '1998-05-30' END AS term_end
+        FROM {meeting_texts_v} GROUP BY user_id, course_id""",
+    "syllabus_files_v": """
+        SELECT doc_id, 'u' || (doc_id % 3) AS user_id, lang AS course_id,
+               CASE lang WHEN 'fr' THEN 'CALC 2' WHEN 'es' THEN 'Seminar' WHEN 'de' THEN 'CSCI 303' ELSE 'ECON 303' END AS code,
+               CASE lang WHEN 'fr' THEN 'Calculus II' WHEN 'de' THEN 'Computer Science' ELSE 'Economics' END AS course_title,
+               'f' || doc_id AS source_id,
+               CASE doc_id % 5 WHEN 0 THEN 'Syllabus.pdf' WHEN 1 THEN 'notes.txt' WHEN 2 THEN 'Course_Outline.md' ELSE 'file' || doc_id || '.txt' END AS file_name,
+               doc_id % 8 = 0 AS explicit,
+               CASE doc_id % 6 WHEN 0 THEN 'CSCI 243 ' WHEN 1 THEN 'ECON 303 Syllabus and grading policy. ' WHEN 2 THEN 'ECON 101 ' WHEN 3 THEN 'MATH 112 syllabus, course outline ' WHEN 4 THEN 'HIST 303 ' ELSE '' END || text AS text
+        FROM {documents}""",
     # --- schedule, engagement, calendar ------------------------------------------
     "schedule_v": """
         SELECT o_orderkey AS id, 'u' || (o_custkey % 20) AS user_id,
