@@ -236,6 +236,35 @@ BINDINGS: dict[str, str] = {
     "attempts_v": """
         SELECT 'u' || (l_partkey % 20) AS user_id, l_partkey AS problem_id, l_returnflag <> 'R' AS correct,
                l_linenumber - 2 AS help_level, l_shipdate AS ts, l_orderkey FROM {lineitem}""",
+    "answers_v": """
+        SELECT l_orderkey AS test_id, l_partkey AS problem_id,
+               CASE WHEN l_linenumber = 7 THEN '' ELSE 'x1 = ' || l_quantity || ', x2 = ' || (l_extendedprice / 1000) END AS expected,
+               CASE l_suppkey % 5 WHEN 0 THEN 'x1=' || l_quantity || '; x2 = ' || (l_extendedprice / 1000) WHEN 1 THEN 'x1 = ' || (l_quantity * 1.0005) || ' x2=' || (l_extendedprice / 1000)
+                    WHEN 2 THEN 'x1 = ' || (l_quantity * 1.01) || ', x2 = ' || (l_extendedprice / 1000) WHEN 3 THEN 'x1 = 1, x2 = 2, x1 = ' || l_quantity ELSE NULL END AS entered
+        FROM {lineitem}""",
+    "keyed_v": """
+        SELECT id, template, type, a, b, m, p1, p2, qa, qb, p0, c, w, r, q,
+               CASE template WHEN 'cobb_douglas_utility_max' THEN a * m / ((a + b) * p1) WHEN 'budget_line' THEN m / p1 WHEN 'price_elasticity' THEN qa - qb * p0
+                    WHEN 'profit_max_monopoly' THEN (qa - c) / (2 * qb) ELSE power(q / power(a * r / (b * w), a), 1 / (a + b)) * a * r / (b * w) END * slip AS claim1,
+               CASE template WHEN 'cobb_douglas_utility_max' THEN b * m / ((a + b) * p2) WHEN 'budget_line' THEN m / p2 WHEN 'price_elasticity' THEN -qb * p0 / (qa - qb * p0)
+                    WHEN 'profit_max_monopoly' THEN qa - (qa - c) / 2 ELSE power(q / power(a * r / (b * w), a), 1 / (a + b)) END AS claim2
+        FROM (SELECT l_orderkey * 10 + l_linenumber AS id, l_suppkey % 7 AS kindno,
+                CASE l_suppkey % 7 WHEN 0 THEN 'cobb_douglas_utility_max' WHEN 1 THEN 'budget_line' WHEN 2 THEN 'price_elasticity' WHEN 3 THEN 'profit_max_monopoly' WHEN 4 THEN 'cost_minimization' ELSE 'none' END AS template,
+                CASE l_linenumber % 3 WHEN 0 THEN 'numeric' WHEN 1 THEN 'short_answer' ELSE 'symbolic' END AS type,
+                0.25 + l_discount AS a, 0.5 + l_tax AS b, l_extendedprice AS m, 1.0 + l_quantity AS p1, 2.0 + l_linenumber AS p2, 1000.0 + l_quantity AS qa, 1.5 + l_tax AS qb, 3.0 + l_linenumber AS p0,
+                CASE WHEN l_linenumber = 6 THEN NULL ELSE 20.0 + l_linenumber END AS c, 4.0 + l_tax AS w, 2.0 + l_discount AS r, l_quantity AS q,
+                CASE WHEN l_partkey % 4 = 0 THEN 1.02 ELSE 1.0 END AS slip FROM {lineitem}) k""",
+    "raw_problems_v": """
+        SELECT doc_id, source AS source_id, CASE WHEN doc_id % 3 = 0 THEN NULL ELSE ' ' || doc_id || '(b) and more text' END AS number,
+               CASE WHEN doc_id % 13 = 0 THEN '   ' ELSE text END AS prompt,
+               CASE doc_id % 6 WHEN 0 THEN 'Symbolic Derivation' WHEN 1 THEN 'multiple-choice' WHEN 2 THEN 'riddle' WHEN 3 THEN NULL WHEN 4 THEN 'PROOF' ELSE 'essay prompt' END AS type,
+               split_part(text, chr(10), 1) AS topic, CASE WHEN doc_id % 4 = 0 THEN NULL ELSE ' Hard ' END AS difficulty, lang AS given_solution,
+               CASE doc_id % 5 WHEN 0 THEN '0.4' WHEN 1 THEN 'high' WHEN 2 THEN NULL ELSE '0.9' END AS confidence
+        FROM {documents}""",
+    "help_requests_v": """
+        SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'uploaded' ELSE 'generated' END AS origin, CAST(doc_id % 6 AS INT) AS level,
+               replace(text, '.' || chr(10), '. So 3 * 4 of it. Therefore this is true.' || chr(10)) || ' The answer is 7. x = 12! Done.' AS text
+        FROM {documents}""",
     "scores_v": """
         SELECT l_orderkey AS student, l_returnflag AS component, item, l_quantity AS quantity,
                CASE WHEN l_linestatus = 'O' AND item % 2 = 0 THEN NULL ELSE 2.0 * l_quantity END AS score
