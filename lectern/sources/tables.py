@@ -272,6 +272,36 @@ BINDINGS: dict[str, str] = {
                      row_number() OVER (PARTITION BY l_orderkey
                          ORDER BY l_linenumber, l_partkey, l_suppkey, l_shipdate, l_extendedprice, l_quantity) AS item
               FROM {lineitem}) s""",
+    "grade_components_v": """
+        SELECT student, component, n_items,
+               CASE WHEN n_comp = 3 THEN CASE component WHEN 'A' THEN CAST(0.3 AS DOUBLE) WHEN 'N' THEN CAST(0.2 AS DOUBLE) ELSE CAST(0.5 AS DOUBLE) END
+                    ELSE CAST(1 AS DOUBLE) / n_comp END * CASE WHEN student % 11 = 0 THEN CAST(0.8 AS DOUBLE) ELSE CAST(1 AS DOUBLE) END AS weight,
+               CASE WHEN component = 'N' THEN 'weighted' ELSE 'equal' END AS aggregation,
+               CASE WHEN (component = 'A' OR student % 5 = 0) AND n_items >= 3 THEN 1 ELSE 0 END AS drop_lowest,
+               CASE WHEN component = 'A' AND n_items >= 4 AND student % 2 = 0 THEN 1 ELSE 0 END AS drop_highest
+        FROM (SELECT student, component, COUNT(*) AS n_items, COUNT(*) OVER (PARTITION BY student) AS n_comp FROM {scores_v} GROUP BY student, component) c""",
+    "grade_items_v": """
+        SELECT student, component, item, score,
+               CASE WHEN component = 'N' THEN CAST(2 AS DOUBLE) * row_number() OVER (PARTITION BY student, component ORDER BY item)
+                    / (COUNT(*) OVER (PARTITION BY student, component) * (COUNT(*) OVER (PARTITION BY student, component) + 1)) END AS share
+        FROM {scores_v}""",
+    "grade_rules_v": """
+        SELECT student, MIN(item) AS source_item, 'A' AS target, student % 3 <> 0 AS if_higher FROM {scores_v} WHERE component = 'R' GROUP BY student HAVING COUNT(*) = 1""",
+    "grade_extra_v": """
+        SELECT DISTINCT student, 1000 AS item, CAST(2 AS DOUBLE) AS points, CASE WHEN student % 8 = 0 THEN CAST(50 AS DOUBLE) END AS score FROM {scores_v} WHERE student % 4 = 0""",
+    "hypothetical_v": """
+        SELECT student, CASE WHEN student % 9 = 0 THEN item + 500 ELSE item END AS item, CAST(60 AS DOUBLE) + item * 7 AS value FROM {scores_v} WHERE score IS NULL""",
+    "rule_components_v": """
+        SELECT student, component AS component_id, CASE WHEN student % 17 = 0 THEN 'Exams' WHEN student % 23 = 0 THEN ' ' ELSE component END AS name,
+               CASE WHEN student % 13 = 0 THEN weight * 5 ELSE weight END AS weight, CASE WHEN student % 19 = 0 THEN 'curve' ELSE aggregation END AS aggregation,
+               CASE WHEN student % 29 = 0 THEN 3 ELSE drop_lowest END AS drop_lowest, drop_highest FROM {grade_components_v}""",
+    "rule_items_v": """
+        SELECT student, component AS component_id, CASE WHEN student % 7 = 0 THEN 'Item ' || (item % 4) ELSE component || item END AS name,
+               CASE WHEN student % 10 = 0 THEN CAST(item AS DOUBLE) / 3 ELSE share END AS share, item FROM {grade_items_v}""",
+    "rule_replacements_v": """
+        SELECT student, CASE WHEN student % 6 = 0 THEN 'Lost' ELSE 'R' || source_item END AS source_name, CASE WHEN student % 4 = 0 THEN 'r' ELSE 'a' END AS target_name FROM {grade_rules_v}""",
+    "rule_letters_v": """
+        SELECT DISTINCT student, CASE WHEN student % 21 = 0 THEN ' ' ELSE component END AS letter, CASE WHEN student % 14 = 0 THEN CAST(120 AS DOUBLE) ELSE CAST(90 AS DOUBLE) END AS minimum, component FROM {scores_v}""",
 }
 
 
