@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = "retrieval evaluation ingest text syllabus schedule practice grades".split()
+MODULES = "retrieval evaluation ingest text syllabus schedule practice grades lifecycle".split()
 
 
 def load():

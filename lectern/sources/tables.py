@@ -302,6 +302,35 @@ BINDINGS: dict[str, str] = {
         SELECT student, CASE WHEN student % 6 = 0 THEN 'Lost' ELSE 'R' || source_item END AS source_name, CASE WHEN student % 4 = 0 THEN 'r' ELSE 'a' END AS target_name FROM {grade_rules_v}""",
     "rule_letters_v": """
         SELECT DISTINCT student, CASE WHEN student % 21 = 0 THEN ' ' ELSE component END AS letter, CASE WHEN student % 14 = 0 THEN CAST(120 AS DOUBLE) ELSE CAST(90 AS DOUBLE) END AS minimum, component FROM {scores_v}""",
+    # --- tables of the deletion operators: user_id, row_id and the tie to a course -----------
+    "del_sources_v": """
+        SELECT DISTINCT user_id, course_id, source_id, source_id AS row_id,
+               CASE CAST(substr(source_id, 2) AS INT) % 6 WHEN 0 THEN 'textbook' WHEN 1 THEN 'slides' WHEN 2 THEN 'syllabus' WHEN 3 THEN 'assessment' WHEN 4 THEN 'bbplus' ELSE 'readings' END AS type,
+               CASE WHEN source_id = 's5' THEN '/up/Course_Outline.pdf' ELSE '/up/' || source_id || '.pdf' END AS file
+        FROM {library_v} WHERE user_id <> 'u11'""",
+    "del_chunks_v": "SELECT user_id, course_id, source_id, chunk_id AS row_id FROM {library_v}",
+    "del_chapters_v": "SELECT DISTINCT user_id, course_id, source_id, source_id || '/' || chapter_num AS row_id FROM {library_v}",
+    "del_parents_v": "SELECT DISTINCT user_id, source_id, source_id || '/p' || (chunk_id % 40) AS row_id FROM {library_v}",
+    "del_schedule_v": "SELECT user_id, course_id, id AS row_id FROM {schedule_v}",
+    "del_assessments_v": "SELECT user_id, course_id, id AS row_id FROM {assessments_v}",
+    "del_calendar_events_v": "SELECT user_id, course_id, id AS row_id, CASE WHEN id % 2 = 0 THEN 'from syllabus' ELSE '' END AS notes FROM {calendar_events_v}",
+    "del_grade_records_v": "SELECT 'u' || (student % 20) AS user_id, 'c' || (student % 6 + 1) AS course_id, student || '/' || item AS row_id FROM {scores_v}",
+    "del_task_status_v": "SELECT DISTINCT user_id, item_id AS row_id FROM {task_status_v}",
+    "del_study_plans_v": "SELECT user_id, id AS row_id, id AS assessment_id FROM {assessments_v}",
+    "del_problems_v": "SELECT user_id, course_id, problem_id AS row_id, 's' || (problem_id % 9) AS source_id FROM {problems_v}",
+    "del_attempts_v": """
+        SELECT DISTINCT 'u' || (l_suppkey % 20) AS user_id, l_partkey AS problem_id, 'c' || (l_partkey % 5 + 1) || ':s1:' || (l_partkey % 50) AS chapter_ref, l_orderkey || '/' || l_partkey AS row_id FROM {lineitem}""",
+    "del_engagement_v": "SELECT DISTINCT user_id, chapter_ref, chapter_ref AS row_id FROM {engagement_ev_v}",
+    "del_manual_progress_v": "SELECT DISTINCT user_id, chapter_ref, chapter_ref AS row_id FROM {manual_v}",
+    "del_conversations_v": "SELECT DISTINCT 'u' || (conv_id % 20) AS user_id, 'c' || (conv_id % 5 + 1) AS course_id, conv_id AS row_id FROM {conversations}",
+    "del_messages_v": "SELECT 'u' || (conv_id % 20) AS user_id, conv_id AS conversation_id, conv_id || '.' || turn AS row_id FROM {conversations}",
+    "del_artifacts_v": "SELECT user_id, row_id AS message_id, row_id || '.a' AS row_id FROM {del_messages_v}",
+    "del_ingest_jobs_v": "SELECT user_id, 'c' || (page_id % 5 + 1) AS course_id, page_id AS row_id FROM {files_v}",
+    "del_agent_runs_v": "SELECT user_id, 'c' || (run_id % 5 + 1) AS course_id, run_id AS row_id FROM {runs_v}",
+    "del_requests_v": """
+        SELECT DISTINCT CASE WHEN c_custkey % 20 = 19 THEN 'benchmark' ELSE 'u' || (c_custkey % 20) END AS user_id, 'c' || (c_custkey % 20 % 5 + 1) AS course_id,
+               CASE c_custkey % 4 WHEN 0 THEN 'materials' WHEN 1 THEN 'syllabus' WHEN 2 THEN 'assessment_uploads' ELSE 'entire_course' END AS scope
+        FROM {customer}""",
 }
 
 
