@@ -8,6 +8,7 @@ from lectern.functions import text as X
 from lectern.operators import ingest as I
 from lectern.plans import sqltext as S
 from lectern.plans.registry import query
+from lectern.session import work_folder
 
 
 def strip_sql(x: str) -> str:
@@ -24,8 +25,7 @@ def ext(x: str, pattern: str, group: int) -> str:
 @query("corpus_scan")
 def corpus_scan(t):
     """Files below the table folder that carry a corpus suffix, hashed; here the text tables written out."""
-    folder = t.spark.conf.get("spark.checkpoint.dir", None) or "/tmp"
-    target = f"{folder}/corpus-scan-{t.spark.sparkContext.applicationId}"
+    target = work_folder(t.spark, "corpus-scan")
     texts = t("documents").select("text")
     texts.write.mode("overwrite").option("lineSep", "\n\n").option("compression", "none").text(target)
     return I.corpus_scan(t.spark, target).select("length", "file_hash")
