@@ -27,6 +27,14 @@ def let(value: Column, build: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), build), 1)
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash-partition rows whose next step is CPU-bound, into the session's number of partitions.
+
+    Without it adaptive execution merges them by size, which leaves a heavy step on a few cores.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def top_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int, rank: str = "rank") -> DataFrame:
     """First `k` rows per key with a 0-based rank; Spark prunes to k rows before the shuffle."""
     window = Window.partitionBy(*keys).orderBy(*order)

@@ -183,8 +183,11 @@ def course_result(components: Column, extra: Column, rules: Column, extra_missin
 
 
 def letter_of(scale: Column, percent: Column) -> Column:
-    """Letter of the highest threshold at or below the percent."""
-    return F.try_element_at(F.filter(scale, lambda s: s["minimum"] <= percent), F.lit(1))["letter"]
+    """Letter of the highest threshold at or below the percent.
+
+    The percent counts to nine digits, so 73 reached through a sum of thirds is still 73.
+    """
+    return F.try_element_at(F.filter(scale, lambda s: s["minimum"] <= F.round(percent, 9)), F.lit(1))["letter"]
 
 
 # --- reports --------------------------------------------------------------------------------------

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions import fixed_values as V
 from lectern.functions import text as X
-from lectern.functions.common import exact_sum, first_row, let, matches, top_rows
+from lectern.functions.common import exact_sum, first_row, let, matches, spread, top_rows
 from lectern.session import cut_lineage
 
 
@@ -346,7 +346,7 @@ def lexical_rerank(
     """Adds rerank_score to (key, chunk_id, ...) candidates. A query without terms scores 0."""
     terms = rerank_terms(queries, index, key, text)
     texts = index.tokens.select("user_id", "chunk_id", "tokens")
-    joined = candidates.join(terms, key, "left").join(texts, ["user_id", "chunk_id"])
+    joined = spread(candidates.join(terms, key, "left"), "user_id", "chunk_id").join(texts, ["user_id", "chunk_id"])
     score = F.coalesce(rerank_score(F.col("terms"), F.col("phrase"), F.col("tokens")), F.lit(0.0))
     return joined.withColumn("rerank_score", score).drop("terms", "phrase", "tokens")
 

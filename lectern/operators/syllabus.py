@@ -252,7 +252,7 @@ def schedule_rows(extracted: DataFrame, chapters: DataFrame, keys: Sequence[str]
     links = chapter_link(parts, chapters, [*keys, "item_no"])
     rows = F.array_sort(F.collect_list(F.when(F.col("chapter_ref").isNotNull(), F.struct("item_no", "chapter_ref", "chapter_title"))))
     merged = links.groupBy(*keys).agg(
-        F.round(exact_avg(F.col("score")), 4).alias("link_score"),
+        F.round(exact_avg(F.col("score")), 8).alias("link_score"),
         F.bool_or("needs_review").alias("flagged"),
         F.array_join(F.transform(rows, lambda r: r["chapter_ref"]), ",").alias("chapter_refs"),
         F.substring(F.array_join(F.transform(rows, lambda r: r["chapter_title"]), "; "), 1, 120).alias("link_title"),

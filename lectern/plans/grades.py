@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 
+from lectern.functions.common import spread
 from lectern.operators import grades as G
 
 from lectern.plans.registry import query
@@ -34,7 +35,7 @@ book AS (SELECT student, earned * 100 AS earned, extra_points, done AS completed
 
 
 def letter_sql(x: str) -> str:
-    return "CASE " + " ".join(f"WHEN {x} >= {m} THEN '{name}'" for name, m in G.DEFAULT_SCALE) + " END"
+    return "CASE " + " ".join(f"WHEN round({x}, 9) >= {m} THEN '{name}'" for name, m in G.DEFAULT_SCALE) + " END"
 
 
 BOOK = ", ".join(f"round({c}, 6) AS {c}" for c in ("earned", "extra_points", "completed_weight", "unallocated_weight", "current_percent", "projected_percent"))
@@ -77,13 +78,13 @@ def letter_grade(t):
 
 @query("grade_target")
 def grade_target(t):
-    books = books_of(t).withColumn("target", F.lit(60.0))
+    books = spread(books_of(t), *KEY).withColumn("target", F.lit(60.0))
     return rounded(G.solve_target(books).select("student", "target", "status", "required", "maximum_possible", "open_items", "open_extra"))
 
 
 @query("grade_ladder")
 def grade_ladder(t):
-    return rounded(G.grade_ladder(books_of(t)).select("student", "letter", "target", "status", "required", "maximum_possible"))
+    return rounded(G.grade_ladder(spread(books_of(t), *KEY)).select("student", "letter", "target", "status", "required", "maximum_possible"))
 
 
 @query("grade_item_target")
@@ -91,7 +92,7 @@ def grade_item_target(t):
     """The first open item of each student, under each assumption about the other open ones."""
     first = t("grade_items_v").where("score IS NULL").groupBy("student").agg(F.min("item").alias("item_id"))
     assumption = F.explode(F.array(F.lit("same_score"), F.lit("zero"), F.lit("hundred")))
-    books = books_of(t).join(first, KEY).withColumns({"target": F.lit(55.0), "assumption": assumption})
+    books = spread(books_of(t), *KEY).join(first, KEY).withColumns({"target": F.lit(55.0), "assumption": assumption})
     out = G.solve_item_target(books)
     return rounded(out.select("student", "item_id", "assumption", "status", "required_score", "minimum_possible", "maximum_possible"))
 

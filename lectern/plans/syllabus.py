@@ -102,7 +102,7 @@ _PREFIX = S.quoted(sorted({n[:3] for n in V.WEEKDAY_INDEX}))
       substr(body, 1, CASE WHEN kind = 'lecture' THEN 120 ELSE 60 END) AS title, body AS covers,
       CASE WHEN kind = 'exam' OR (kind = 'lecture' AND {S.has('line', V.WEEK_REF)}) THEN 'low' ELSE 'high' END AS confidence FROM r""")
 def syllabus_rows(t):
-    out = Y.schedule_lines(t("syllabi_v"), ["doc_id"], DEFAULT_YEAR)
+    out = Y.schedule_lines(t.spread("syllabi_v"), ["doc_id"], DEFAULT_YEAR)
     return out.withColumns({"line_no": F.col("line_no").cast("long"), "date": F.col("date").cast("string")})
 
 
@@ -225,7 +225,7 @@ _EXTRACTED = """SELECT user_id, chunk_id AS row_id, course_id, CASE WHEN chunk_i
     items AS (SELECT user_id, row_id, course_id, 0 AS item_no, title || ' ' || cover1 || ' ' || cover2 AS query FROM ex WHERE section = 'meeting'
       UNION ALL SELECT user_id, row_id, course_id, 0, cover1 FROM ex WHERE section <> 'meeting' UNION ALL SELECT user_id, row_id, course_id, 1, cover2 FROM ex WHERE section <> 'meeting'),
     lrows AS (SELECT i.*, e.embedding::DOUBLE[] AS emb FROM items i LEFT JOIN embeddings e ON e.vec_id = i.row_id), {link_sql('lrows', 'user_id, row_id, item_no')},
-    g AS (SELECT user_id, row_id, round({S.exact_sum('score')} / COUNT(*), 4) AS link_score, bool_or(needs_review) AS flagged, coalesce(string_agg(chapter_ref, ',' ORDER BY item_no), '') AS chapter_refs,
+    g AS (SELECT user_id, row_id, round({S.exact_sum('score')} / COUNT(*), 8) AS link_score, bool_or(needs_review) AS flagged, coalesce(string_agg(chapter_ref, ',' ORDER BY item_no), '') AS chapter_refs,
           substr(coalesce(string_agg(CASE WHEN chapter_ref IS NOT NULL THEN chapter_title END, '; ' ORDER BY item_no), ''), 1, 120) AS link_title FROM linked GROUP BY ALL)
     SELECT e.user_id, e.row_id, CASE WHEN section = 'meeting' THEN 'lecture' WHEN kind = 'midterm' THEN 'exam' ELSE 'due' END AS kind,
       CASE WHEN title = '' AND section <> 'meeting' THEN CASE kind WHEN 'midterm' THEN 'Midterm' WHEN 'problem_set' THEN 'Problem Set' ELSE 'Quiz' END ELSE title END AS topic,

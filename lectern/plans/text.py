@@ -203,11 +203,11 @@ def _weights_sql(kind: str, keep: str) -> str:
     SELECT user_id, chunk_id, kind, COUNT(*) AS n_terms, round({S.exact_sum('weight')}, 4) AS total, round(MAX(weight), 6) AS top FROM (SELECT * FROM word_w UNION ALL SELECT * FROM char_w) GROUP BY ALL""")
 def tfidf_weights(t):
     """The weight vectors of all chunks, summed up per chunk and feature block."""
-    from lectern.functions.common import exact_sum
-
     w = FE.tfidf_weights(t("chunks_v"))
-    return w.groupBy("user_id", "chunk_id", "kind").agg(
-        F.count("*").alias("n_terms"), F.round(exact_sum(F.col("weight")), 4).alias("total"), F.round(F.max("weight"), 6).alias("top")
+    total = F.aggregate("terms", F.lit(0.0), lambda s, x: s + x["weight"])
+    top = F.array_max(F.transform("terms", lambda x: x["weight"]))
+    return w.select(
+        "user_id", "chunk_id", "kind", F.size("terms").cast("long").alias("n_terms"), F.round(total, 4).alias("total"), F.round(top, 6).alias("top")
     )
 
 

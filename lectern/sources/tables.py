@@ -384,8 +384,14 @@ class Tables:
 
     def _read(self, name: str) -> DataFrame:
         df = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
-        cores = self.spark.sparkContext.defaultParallelism
-        # text work is CPU-bound: an input of fewer splits than cores (a small file) is spread first
-        if name == "documents" and df.rdd.getNumPartitions() < cores:
-            df = df.repartition(cores)
-        return df
+        return spread_small(df) if name == "documents" else df
+
+    def spread(self, name: str) -> DataFrame:
+        """Like a call, for CPU-bound work on a table or binding that may come from one small file."""
+        return spread_small(self(name))
+
+
+def spread_small(df: DataFrame) -> DataFrame:
+    """An input of fewer splits than cores is spread over the cores; larger inputs stay as read."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
