@@ -211,6 +211,11 @@ def tfidf_weights(t):
     )
 
 
+@query("lsa_embed")
+def lsa_embed(t):
+    return FE.lsa_embed(t("chunks_v"))
+
+
 # --- answers -------------------------------------------------------------------------------------
 
 

@@ -271,3 +271,25 @@ def test_hooks(spark):
     assert [r.rerank_score for r in scored] == [1.0, 0.5]
     encoded = retrieval.encode(df, lambda texts: [[3.0, 4.0] for _ in texts], "text").first()
     assert encoded.embedding == pytest.approx([0.6, 0.8])
+
+
+def test_reduced_vectors_keep_cosines(spark):
+    import itertools
+
+    import numpy as np
+
+    from lectern.operators import features
+
+    texts = [f"supply and demand meet in market {i % 4} where price {i % 3} clears trade {i % 5}" for i in range(24)]
+    docs = spark.createDataFrame([("u", i, x) for i, x in enumerate(texts)], "user_id string, chunk_id bigint, text string")
+    weights = {}
+    for row in features.tfidf_weights(docs).collect():
+        weights.setdefault(row.chunk_id, {}).update({(row.kind, t["term"]): t["weight"] for t in row.terms})
+    reduced = {r.chunk_id: np.array(r.embedding) for r in features.lsa_embed(docs, 2048).collect()}
+
+    def cosine(a, b):
+        dot = sum(w * b.get(t, 0.0) for t, w in a.items())
+        return dot / np.sqrt(sum(w * w for w in a.values()) * sum(w * w for w in b.values()))
+
+    for i, j in itertools.combinations(range(8), 2):
+        assert float(reduced[i] @ reduced[j]) == pytest.approx(cosine(weights[i], weights[j]), abs=0.12)
