@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectern.functions import fixed_values as V
 from lectern.functions import pages as P
 from lectern.functions import text as X
 from lectern.functions.common import first_row, matches, ratio, top_rows
+from lectern.operators.scans import running_sum
 
 # --- queues and tests -----------------------------------------------------------------------
 
@@ -21,10 +22,19 @@ def practice_queue(problems: DataFrame, attempts: DataFrame) -> DataFrame:
     history = attempts.groupBy(*key).agg(F.count("*").alias("n_attempts"), F.count_if(~F.col("correct")).alias("misses"))
     out = problems.join(history, key, "left")
     out = out.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("n_attempts", "misses")})
-    order = Window.partitionBy("user_id").orderBy(
-        (F.col("misses") == 0).cast("int"), F.desc("misses"), (F.col("origin") != "uploaded").cast("int"), "number", "problem_id"
+    out = out.withColumns(
+        {
+            "clean": (F.col("misses") == 0).cast("int"),
+            "fewer": -F.col("misses"),
+            "variant": (F.col("origin") != "uploaded").cast("int"),
+            "max_help": help_cap(F.col("origin")),
+        }
     )
-    return out.withColumn("max_help", help_cap(F.col("origin"))).withColumn("place", F.row_number().over(order))
+    # places are counted per block of equal leading order columns, so a user may own any share of the rows
+    block = F.struct("clean", "fewer", "variant", "number")
+    order = ["clean", "fewer", "variant", "number", "problem_id"]
+    placed = running_sum(out, ["user_id"], order, block, F.lit(1), "place")
+    return placed.drop("clean", "fewer", "variant")
 
 
 def assemble_test(problems: DataFrame, exam_refs: DataFrame, n: int = 8) -> DataFrame:

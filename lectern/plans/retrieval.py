@@ -339,13 +339,12 @@ def chapter_titles(t):
 
 
 @query("hydrate_parents", f"""WITH {SPARSE},
-    parents AS (SELECT user_id, source_id, chapter_num, string_agg(text, chr(10) || chr(10) ORDER BY ordinal) AS parent_text FROM chunks_v GROUP BY ALL)
+    parents AS (SELECT user_id, ordinal // 12 AS parent_id, string_agg(text, chr(10) || chr(10) ORDER BY ordinal) AS parent_text FROM chunks_v GROUP BY ALL)
     SELECT s.user_id, s.q_id, s.chunk_id, s.rank, md5(c.text) AS text_hash, md5(p.parent_text) AS parent_hash
-    FROM sparse s JOIN chunks_v c USING (user_id, chunk_id) LEFT JOIN parents p USING (user_id, source_id, chapter_num) WHERE rank < 6""")
+    FROM sparse s JOIN chunks_v c USING (user_id, chunk_id) LEFT JOIN parents p ON p.user_id = c.user_id AND p.parent_id = c.ordinal // 12 WHERE rank < 6""")
 def hydrate_parents(t):
-    c = t("chunks_v")
-    parent_id = F.concat_ws(":", "source_id", F.col("chapter_num").cast("string"))
-    chunks = c.withColumn("parent_id", parent_id)
+    # a parent joins the chunks of twelve neighbouring documents that belong to the tenant
+    chunks = t("chunks_v").withColumn("parent_id", F.floor(F.col("ordinal") / 12))
     ordered = F.array_sort(F.collect_list(F.struct("ordinal", "text")))
     parents = chunks.groupBy("user_id", "parent_id").agg(
         F.array_join(F.transform(ordered, lambda x: x["text"]), "\n\n").alias("text")
