@@ -14,6 +14,8 @@ SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     # hash instead of sort joins where every partition of the smaller side is proven small
     "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "64MB",
+    # lists are collected per document or per course, so many small groups fit a task's hash table
+    "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "4096",
     "spark.sql.optimizer.runtime.bloomFilter.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
