@@ -5,6 +5,7 @@ from __future__ import annotations
 from lectern.llm.mixing import mix_sources, mix_sources_sql
 from lectern.llm.shared import prepare, table
 from lectern.llm.url_filter import judge_urls, judge_urls_sql
+from lectern.llm.warc import archive_pages_query, archive_pages_sql
 
 
 def on(name: str, operator):
@@ -18,11 +19,13 @@ def on(name: str, operator):
 
 
 QUERIES = {
+    "op6_arc_to_warc": on("pages", archive_pages_query),
     "op8_mixing": on("documents", mix_sources),
     "op10_url_filter": on("pages", judge_urls),
 }
 
 ORACLES = {
+    "op6_arc_to_warc": archive_pages_sql(),
     "op8_mixing": mix_sources_sql(),
     "op10_url_filter": judge_urls_sql(),
 }
