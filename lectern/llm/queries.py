@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from lectern.llm.mixing import mix_sources, mix_sources_sql
+from lectern.llm.pii import pseudonymise_query
 from lectern.llm.shared import prepare, table
 from lectern.llm.url_filter import judge_urls, judge_urls_sql
 from lectern.llm.warc import archive_pages_query, archive_pages_sql
@@ -19,6 +20,7 @@ def on(name: str, operator):
 
 
 QUERIES = {
+    "op1_pii_pseudonyms": on("documents", pseudonymise_query),
     "op6_arc_to_warc": on("pages", archive_pages_query),
     "op8_mixing": on("documents", mix_sources),
     "op10_url_filter": on("pages", judge_urls),
