@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from lectern.llm.jaccard import similar_components_query, similar_components_sql
 from lectern.llm.mixing import mix_sources, mix_sources_sql
 from lectern.llm.pii import pseudonymise_query
 from lectern.llm.shared import prepare, table
@@ -23,11 +24,13 @@ QUERIES = {
     "op1_pii_pseudonyms": on("documents", pseudonymise_query),
     "op6_arc_to_warc": on("pages", archive_pages_query),
     "op8_mixing": on("documents", mix_sources),
+    "op9_jaccard_join": on("documents", similar_components_query),
     "op10_url_filter": on("pages", judge_urls),
 }
 
 ORACLES = {
     "op6_arc_to_warc": archive_pages_sql(),
     "op8_mixing": mix_sources_sql(),
+    "op9_jaccard_join": similar_components_sql(),
     "op10_url_filter": judge_urls_sql(),
 }
