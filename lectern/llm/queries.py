@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from lectern.llm.decontaminate import contaminated
 from lectern.llm.jaccard import similar_components_query, similar_components_sql
 from lectern.llm.mixing import mix_sources, mix_sources_sql
 from lectern.llm.pii import pseudonymise_query
@@ -20,9 +21,15 @@ def on(name: str, operator):
     return run
 
 
+def decontamination(spark, folder):
+    prepare(spark)
+    return contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 QUERIES = {
     "op1_pii_pseudonyms": on("documents", pseudonymise_query),
     "op6_arc_to_warc": on("pages", archive_pages_query),
+    "op7_decontamination": decontamination,
     "op8_mixing": on("documents", mix_sources),
     "op9_jaccard_join": on("documents", similar_components_query),
     "op10_url_filter": on("pages", judge_urls),

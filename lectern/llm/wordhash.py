@@ -15,6 +15,9 @@ INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 #: ASCII white space; every other byte belongs to a word.
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
+#: The same and ASCII signs: words of letters, digits and bytes beyond ASCII.
+SIGNS = np.ones(256, bool)
+SIGNS[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -63,9 +66,9 @@ def text_buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return offsets - offsets[0], np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]]
 
 
-def word_spans(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def word_spans(offsets: np.ndarray, data: np.ndarray, between: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray]:
     """First and next-to-last byte position of every word; no word crosses two texts."""
-    inside = ~SPACE[data]
+    inside = ~between[data]
     edge = np.zeros(len(data) + 1, bool)
     edge[offsets] = True
     before = np.empty_like(inside)
@@ -77,14 +80,14 @@ def word_spans(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.nd
     return starts, np.flatnonzero(inside & (~after | edge[1:])) + 1
 
 
-def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words (runs of anything but ASCII white space, A-Z lower-cased) and each text's first word.
+def word_hashes(texts: pa.Array, between: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words (runs of bytes not in `between`, A-Z lower-cased) and each text's first word.
 
     The second array has one more entry than there are texts. Equal words have equal hashes; different ones agree
     with a chance of about 2^-64.
     """
     offsets, data = text_buffers(texts)
-    starts, ends = word_spans(offsets, data)
+    starts, ends = word_spans(offsets, data, between)
     first = np.searchsorted(starts, offsets)
     hashes = np.empty(len(starts), np.uint64)
     values = byte_values()
@@ -106,20 +109,27 @@ def shingle_factors(k: int) -> np.ndarray:
     return mix(np.arange(1, k + 1, dtype=np.uint64)) | np.uint64(1)
 
 
-def shingle_sets(texts: pa.Array, k: int):
-    """For each text its set of distinct k-word shingles, sorted 64-bit integers; one short sequence is one shingle."""
-    hashes, first = word_hashes(texts)
+def rolling(hashes: np.ndarray, k: int) -> np.ndarray:
+    """The hash of every `k` successive words."""
     factors = shingle_factors(k)
     n = len(hashes) - k + 1
     rolled = np.zeros(max(n, 0), np.uint64)
     for j in range(k if n > 0 else 0):
         rolled += hashes[j : j + n] * factors[j]
-    rolled = mix(rolled + np.uint64(k)).view(np.int64)
+    return mix(rolled + np.uint64(k)).view(np.int64)
+
+
+def short_shingle(hashes: np.ndarray, k: int) -> np.ndarray:
+    """The only shingle of a sequence of fewer than `k` words; none without words."""
+    if not len(hashes):
+        return np.zeros(0, np.int64)
+    whole = np.sum(hashes * shingle_factors(k)[: len(hashes)], dtype=np.uint64) + np.uint64(len(hashes))
+    return mix(np.array([whole])).view(np.int64)
+
+
+def shingle_sets(texts: pa.Array, k: int):
+    """For each text its set of distinct k-word shingles, sorted 64-bit integers; one short sequence is one shingle."""
+    hashes, first = word_hashes(texts)
+    rolled = rolling(hashes, k)
     for a, b in zip(first[:-1], first[1:]):
-        if b - a >= k:
-            yield np.unique(rolled[a : b - k + 1])
-        elif b > a:
-            whole = np.sum(hashes[a:b] * factors[: b - a], dtype=np.uint64) + np.uint64(b - a)
-            yield mix(np.array([whole])).view(np.int64)
-        else:
-            yield np.zeros(0, np.int64)
+        yield np.unique(rolled[a : b - k + 1]) if b - a >= k else short_shingle(hashes[a:b], k)
