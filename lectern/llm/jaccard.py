@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm.components import connected
-from lectern.llm.shared import prepare, store
+from lectern.llm.shared import pieces, prepare, store
 from lectern.llm.wordhash import shingle_sets
 
 #: The longest lengthening of a prefix: up to so many shared tokens can be asked for.
@@ -57,7 +57,7 @@ def signatures(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
                 keep = total > 1
                 seen = tokens[keep], total[keep]
 
-        for batch in batches:
+        for batch in pieces(batches, "text"):
             sizes, digests, keys = [], [], []
             for found in shingle_sets(batch.column("text"), k):
                 sizes.append(len(found))
@@ -92,7 +92,7 @@ def prefixes(docs: DataFrame, frequent, k: int, num: int, den: int) -> DataFrame
 
     def rows(batches):
         last = frequent.value
-        for batch in batches:
+        for batch in pieces(batches, "text"):
             ids, sizes, bases, tokens = [], [], [], []
             for doc, found in zip(batch.column("doc_id").to_pylist(), shingle_sets(batch.column("text"), k)):
                 n = len(found)
@@ -129,7 +129,7 @@ def sets_of(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
 
     def rows(batches):
         bits = np.unpackbits(held.value).view(bool)
-        for batch in batches:
+        for batch in pieces(batches, "text"):
             keep = pa.array(bits[batch.column("p").to_numpy()])
             batch = batch.filter(keep)
             if batch.num_rows:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from lectern.llm.decontaminate import contaminated
 from lectern.llm.jaccard import similar_components_query, similar_components_sql
+from lectern.llm.langid import identify_query
 from lectern.llm.mixing import mix_sources, mix_sources_sql
 from lectern.llm.pii import pseudonymise_query
 from lectern.llm.shared import prepare, table
@@ -29,6 +30,7 @@ def decontamination(spark, folder):
 QUERIES = {
     "op1_pii_pseudonyms": on("documents", pseudonymise_query),
     "op6_arc_to_warc": on("pages", archive_pages_query),
+    "op4_language_id": on("documents", identify_query),
     "op7_decontamination": decontamination,
     "op8_mixing": on("documents", mix_sources),
     "op9_jaccard_join": on("documents", similar_components_query),
