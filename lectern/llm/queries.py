@@ -8,6 +8,7 @@ from lectern.llm.langid import identify_query
 from lectern.llm.mixing import mix_sources, mix_sources_sql
 from lectern.llm.pii import pseudonymise_query
 from lectern.llm.shared import prepare, table
+from lectern.llm.toxicity import toxicity_query
 from lectern.llm.url_filter import judge_urls, judge_urls_sql
 from lectern.llm.warc import archive_pages_query, archive_pages_sql
 
@@ -27,9 +28,15 @@ def decontamination(spark, folder):
     return contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
+def toxic_texts(spark, folder):
+    prepare(spark)
+    return toxicity_query(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 QUERIES = {
     "op1_pii_pseudonyms": on("documents", pseudonymise_query),
     "op6_arc_to_warc": on("pages", archive_pages_query),
+    "op3_toxicity": toxic_texts,
     "op4_language_id": on("documents", identify_query),
     "op7_decontamination": decontamination,
     "op8_mixing": on("documents", mix_sources),

@@ -80,16 +80,19 @@ def word_spans(offsets: np.ndarray, data: np.ndarray, between: np.ndarray = SPAC
     return starts, np.flatnonzero(inside & (~after | edge[1:])) + 1
 
 
-def word_hashes(texts: pa.Array, between: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(texts: pa.Array, between: np.ndarray = SPACE, heads: list[tuple[int, list]] | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words (runs of bytes not in `between`, A-Z lower-cased) and each text's first word.
 
     The second array has one more entry than there are texts. Equal words have equal hashes; different ones agree
-    with a chance of about 2^-64.
+    with a chance of about 2^-64. Each (n, list) of `heads` gets an array of the hashes of the words' first n bytes,
+    with 0 for words that are not longer.
     """
     offsets, data = text_buffers(texts)
     starts, ends = word_spans(offsets, data, between)
     first = np.searchsorted(starts, offsets)
     hashes = np.empty(len(starts), np.uint64)
+    for n, out in heads or ():
+        out.append(np.zeros(len(starts), np.uint64))
     values = byte_values()
     k = 0
     while k < len(starts):
@@ -101,6 +104,9 @@ def word_hashes(texts: pa.Array, between: np.ndarray = SPACE) -> tuple[np.ndarra
         np.cumsum(values[data[low:high]] * up[: high - low], out=sums[1:])
         s, e = starts[k:stop] - low, ends[k:stop] - low
         hashes[k:stop] = mix((sums[e] - sums[s]) * down[s] + (e - s).astype(np.uint64))
+        for n, out in heads or ():
+            longer = np.flatnonzero(e - s > n)
+            out[0][k + longer] = mix((sums[s[longer] + n] - sums[s[longer]]) * down[s[longer]] + np.uint64(n << 32))
         k = stop
     return hashes, first
 
