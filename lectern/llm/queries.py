@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from lectern.llm.decontaminate import contaminated
+from lectern.llm.embeddings import dedup_embeddings, dedup_embeddings_sql
 from lectern.llm.jaccard import similar_components_query, similar_components_sql
 from lectern.llm.langid import identify_query
 from lectern.llm.mixing import mix_sources, mix_sources_sql
@@ -38,6 +39,7 @@ QUERIES = {
     "op6_arc_to_warc": on("pages", archive_pages_query),
     "op3_toxicity": toxic_texts,
     "op4_language_id": on("documents", identify_query),
+    "op5_embedding_dedup": on("embeddings", dedup_embeddings),
     "op7_decontamination": decontamination,
     "op8_mixing": on("documents", mix_sources),
     "op9_jaccard_join": on("documents", similar_components_query),
@@ -45,6 +47,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op5_embedding_dedup": dedup_embeddings_sql(),
     "op6_arc_to_warc": archive_pages_sql(),
     "op8_mixing": mix_sources_sql(),
     "op9_jaccard_join": similar_components_sql(),
