@@ -7,6 +7,7 @@ from lectern.llm.embeddings import dedup_embeddings, dedup_embeddings_sql
 from lectern.llm.jaccard import similar_components_query, similar_components_sql
 from lectern.llm.langid import identify_query
 from lectern.llm.mixing import mix_sources, mix_sources_sql
+from lectern.llm.perplexity import quality_query
 from lectern.llm.pii import pseudonymise_query
 from lectern.llm.shared import prepare, table
 from lectern.llm.toxicity import toxicity_query
@@ -29,6 +30,11 @@ def decontamination(spark, folder):
     return contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
+def good_texts(spark, folder):
+    prepare(spark)
+    return quality_query(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 def toxic_texts(spark, folder):
     prepare(spark)
     return toxicity_query(table(spark, folder, "documents"), table(spark, folder, "labels"))
@@ -37,6 +43,7 @@ def toxic_texts(spark, folder):
 QUERIES = {
     "op1_pii_pseudonyms": on("documents", pseudonymise_query),
     "op6_arc_to_warc": on("pages", archive_pages_query),
+    "op2_quality_perplexity": good_texts,
     "op3_toxicity": toxic_texts,
     "op4_language_id": on("documents", identify_query),
     "op5_embedding_dedup": on("embeddings", dedup_embeddings),
