@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +26,10 @@ MOST_FREQUENT = 1 << 20
 LOCAL_COUNT = 2
 #: Minima under so many permutations name the star that a document joins first.
 STARS = 4
+#: Share of the union from which a comparison with a star's centre makes it a pivot.
+NEAR = 0.6
+#: Width of a bin of set sizes, as a factor.
+SIZE_STEP = 1.02
 #: Bits of the filter that spares documents outside all candidates (a proven bound: half a megabyte).
 FILTER_BITS = 1 << 22
 
@@ -139,47 +144,92 @@ def sets_of(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
     return docs.select("doc_id", place.alias("p"), "text").mapInArrow(rows, "id long, packed binary")
 
 
-def verified(docs: DataFrame, pairs: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) of which den * intersection >= num * union; `pairs` is read more than once."""
+def compared(docs: DataFrame, pairs: DataFrame, k: int, num: int, den: int, *, keep_extra: bool = False) -> DataFrame:
+    """a, b, size of b's set, shared, linked, extra of the pairs (a, b); `pairs` is read more than once.
+
+    Linked are pairs of which den * intersection >= num * union. With `keep_extra` all pairs come back that share
+    `NEAR` of their union, with what b has and a has not; else only linked pairs.
+    """
+    names = ["a", "b", "size", "shared", "linked", "extra"]
 
     def rows(batches):
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("x"), batch.column("y")):
+            out = []
+            for a, b, x, y in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), batch.column("x"), batch.column("y")):
                 x, y = (np.frombuffer(v.as_buffer(), np.int64) for v in (x, y))
-                low, high = min(len(x), len(y)), max(len(x), len(y))
-                shared = 0 if den * low < num * high else len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(den * shared >= num * (len(x) + len(y) - shared))
-            batch = batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-            if batch.num_rows:
-                yield batch
+                if not keep_extra and den * min(len(x), len(y)) < num * max(len(x), len(y)):
+                    continue
+                shared = len(np.intersect1d(x, y, assume_unique=True))
+                union = len(x) + len(y) - shared
+                linked = den * shared >= num * union
+                if linked or keep_extra and shared >= NEAR * union:
+                    out.append((a, b, len(y), shared, linked, np.setdiff1d(y, x, assume_unique=True) if keep_extra else None))
+            if out:
+                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.list_(pa.int64())]
+                yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*out), kinds)], names)
 
     ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
     sets = sets_of(docs, ids, k)
     with_b = pairs.join(sets.select(F.col("id").alias("b"), F.col("packed").alias("y")), "b")
     both = with_b.join(sets.select(F.col("id").alias("a"), F.col("packed").alias("x")), "a")
-    return both.select("a", "b", "x", "y").mapInArrow(rows, "a long, b long")
+    return both.select("a", "b", "x", "y").mapInArrow(rows, "a long, b long, size long, shared long, linked boolean, extra array<long>")
 
 
 def star_pairs(classes: DataFrame) -> DataFrame:
-    """Each class with the smallest class under each of its star keys."""
+    """Each class with the smallest class under each of its star keys, and with the smallest one of that class."""
     keyed = classes.select("class", F.posexplode("stars").alias("which", "star"))
     least = keyed.groupBy("which", "star").agg(F.min("class").alias("a"), F.count("*").alias("size")).where("size > 1").drop("size")
-    return keyed.join(least, ["which", "star"]).where("class <> a").select("a", F.col("class").alias("b")).distinct()
+    direct = store(keyed.join(least, ["which", "star"]).where("class <> a").select("a", F.col("class").alias("b")).distinct(), "stars")
+    above = direct.groupBy(F.col("b").alias("middle")).agg(F.min("a").alias("top"))
+    farther = direct.join(above, direct["a"] == above["middle"]).select(F.col("top").alias("a"), "b")
+    return direct.unionByName(farther).distinct()
+
+
+def within_clusters(members: DataFrame, num: int, den: int) -> DataFrame:
+    """Candidate pairs (a, b) among classes compared with the same pivot p, in different components.
+
+    With x = |a and p|: what a and b share is at most min(x_a, x_b), if they share nothing outside p. So a similar
+    pair shares a token that p lacks, or both x reach num / (num + den) of the sum of the sizes. The second bounds
+    the partner's size by x; partners are looked up by bins of size, and of substituted copies none qualifies.
+    """
+    near = members.where("pivot <> class")
+    tokens = near.select("pivot", "class", "component", F.explode("extra").alias("token"))
+    mixed = tokens.groupBy("pivot", "token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("pivot", "token")
+    tokens = tokens.join(mixed, ["pivot", "token"])
+    a, b = tokens.alias("a"), tokens.alias("b")
+    by_token = a.join(
+        b, (F.col("a.pivot") == F.col("b.pivot")) & (F.col("a.token") == F.col("b.token")) & (F.col("a.class") < F.col("b.class"))
+        & (F.col("a.component") != F.col("b.component")),
+    ).select(F.col("a.class").alias("a"), F.col("b.class").alias("b"))
+
+    step = math.log(SIZE_STEP)
+    size_bin = lambda c: F.floor(F.ln(c) / step)
+    rows = near.select("pivot", "class", "component", F.col("n").cast("double").alias("n"), (F.col("shared") * (num + den) / num - F.col("n")).alias("most"))
+    low, high = F.col("n") * num / den, F.least("most", F.col("n"))
+    asking = rows.where(high >= low * (1 - 1e-9)).withColumn("bin", F.explode(F.sequence(size_bin(low) - 1, size_bin(high) + 1)))
+    a, b = asking.alias("a"), rows.withColumn("bin", size_bin(F.col("n"))).alias("b")
+    slack = 1e-6
+    by_size = a.join(
+        b, (F.col("a.pivot") == F.col("b.pivot")) & (F.col("a.bin") == F.col("b.bin")) & (F.col("a.component") != F.col("b.component"))
+        & (F.col("b.n") <= F.col("a.n")) & (F.col("b.n") <= F.col("a.most") + slack) & (F.col("a.n") <= F.col("b.most") + slack)
+        & (F.col("b.n") * den >= F.col("a.n") * num),
+    ).select(F.least("a.class", "b.class").alias("a"), F.greatest("a.class", "b.class").alias("b"))
+    return by_token.unionByName(by_size).where("a <> b")
 
 
 def candidates(members: DataFrame, prefixed: DataFrame, num: int, den: int) -> DataFrame:
     """Pairs of classes in different components that share enough prefix tokens.
 
-    `members`: class and the component that stars gave it. A pair is asked for as many shared tokens as the smaller
-    of its two numbers of matches says, within the prefixes lengthened for that number.
+    `members`: class, the component that stars gave it and its pivot; pairs of one pivot are left to
+    `within_clusters`. A pair is asked for as many shared tokens as the smaller of its two numbers of matches says,
+    within the prefixes lengthened for that number.
     """
     rows = prefixed.join(members, prefixed["doc_id"] == members["class"]).select(
-        "class", "component", "n", "base", F.posexplode("tokens").alias("at", "token")
+        "class", "component", "pivot", prefixed["n"], "base", F.posexplode("tokens").alias("at", "token")
     )
-    rows = rows.select("token", "class", "component", "n", F.greatest(F.lit(1), F.col("at") - F.col("base") + 2).alias("need"))
-    shared = rows.groupBy("token").agg(F.count("*").alias("df"), F.min("component").alias("low"), F.max("component").alias("high"))
-    shared = shared.where("low <> high").select("token", "df")
+    rows = rows.select("token", "class", "component", "pivot", "n", F.greatest(F.lit(1), F.col("at") - F.col("base") + 2).alias("need"))
+    shared = rows.groupBy("token").agg(F.count("*").alias("df"), F.min("component").alias("low"), F.max("component").alias("high"), F.min("pivot").alias("first"), F.max("pivot").alias("last"))
+    shared = shared.where("low <> high AND first <> last").select("token", "df")
     postings = store(rows.join(shared, "token"), "postings")
 
     # estimated cost of asking for m matches: postings looked at, and at most their number / m to verify
@@ -189,7 +239,7 @@ def candidates(members: DataFrame, prefixed: DataFrame, num: int, den: int) -> D
     by_class = postings.groupBy("class", "n").agg(*[c.alias(f"c{m}") for m, c in enumerate(costs, 1)])
     options = [F.when(limit >= m, F.struct(F.col(f"c{m}").alias("cost"), F.lit(m).alias("m"))) for m in range(1, MOST_MATCHES + 1)]
     chosen = by_class.select("class", "n", F.array_min(F.array_compact(F.array(*options)))["m"].alias("matches"))
-    used = postings.join(chosen, ["class", "n"]).where("need <= matches").select("token", "class", "component", "n", "need", "matches")
+    used = postings.join(chosen, ["class", "n"]).where("need <= matches").select("token", "class", "component", "pivot", "n", "need", "matches")
 
     a, b = used.alias("a"), used.alias("b")
     asked = F.least("a.matches", "b.matches")
@@ -197,7 +247,7 @@ def candidates(members: DataFrame, prefixed: DataFrame, num: int, den: int) -> D
     met = a.join(
         b,
         (F.col("a.token") == F.col("b.token")) & (F.col("a.class") < F.col("b.class")) & (F.col("a.component") != F.col("b.component"))
-        & (low * den >= high * num) & (F.col("a.need") <= asked) & (F.col("b.need") <= asked),
+        & (F.col("a.pivot") != F.col("b.pivot")) & (low * den >= high * num) & (F.col("a.need") <= asked) & (F.col("b.need") <= asked),
     ).select(F.col("a.class").alias("a"), F.col("b.class").alias("b"), asked.alias("asked"))
     return met.groupBy("a", "b", "asked").agg(F.count("*").alias("shared")).where("shared >= asked").select("a", "b")
 
@@ -233,11 +283,17 @@ def similar_components(docs: DataFrame, *, key: str = "doc_id", text: str = "tex
     classes = keyed.groupBy("digest").agg(F.min_by(F.struct("doc_id", "n", "stars"), "doc_id").alias("r"))
     classes = store(classes.select("digest", F.col("r.doc_id").alias("class"), F.col("r.n").alias("n"), F.col("r.stars").alias("stars")), "classes")
     known = docs.where("doc_id IS NOT NULL")
-    first = store(verified(known, store(star_pairs(classes), "star-pairs"), words, num, den), "star-links")
+    starred = store(compared(known, store(star_pairs(classes), "star-pairs"), words, num, den, keep_extra=True), "star-links")
+    first = starred.where("linked").select("a", "b")
     near = connected(first)
-    members = classes.select("class").join(near, classes["class"] == near["id"], "left").select("class", F.coalesce("component", "class").alias("component"))
-    pairs = store(candidates(members, prefixes(known, frequent, words, num, den), num, den), "candidates")
-    links = first.unionByName(verified(known, pairs, words, num, den))
+    # of the classes that a class was compared with, the smallest one is its pivot
+    pivots = starred.groupBy("b").agg(F.min_by(F.struct("a", "shared", "extra"), "a").alias("p"))
+    members = classes.select("class", "n").join(near, classes["class"] == near["id"], "left").join(pivots, classes["class"] == pivots["b"], "left")
+    members = members.select("class", "n", F.coalesce("component", "class").alias("component"), F.coalesce("p.a", "class").alias("pivot"), F.col("p.shared").alias("shared"), F.col("p.extra").alias("extra"))
+    members = store(members, "members")
+    across = candidates(members.select("class", "component", "pivot"), prefixes(known, frequent, words, num, den), num, den)
+    pairs = store(across.unionByName(within_clusters(members, num, den)).distinct(), "candidates")
+    links = first.unionByName(compared(known, pairs, words, num, den).select("a", "b"))
 
     # equal texts under different classes' keys, and repeated keys: every row links its key with its class
     same = keyed.join(classes.select("digest", "class"), "digest").select(F.col("doc_id").alias("a"), F.col("class").alias("b")).where("a <> b")
