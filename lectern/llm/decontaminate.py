@@ -100,6 +100,7 @@ class Index:
     names: np.ndarray
     words: int
     parts: list
+    maybe: np.ndarray
 
     @property
     def n_blocks(self) -> int:
@@ -130,9 +131,12 @@ def build_index(parsed, postings, threshold: float) -> Index:
             spare[items[mine]] += weights[mine]
             needed[t] = False
     parts = [tuple(np.asarray(r[c], np.int64) for c in ("whole", "question", "answer")) for _, r in parsed.iterrows()]
+    # a first look at the low bits of a word's hash
+    maybe = np.zeros(1 << 20, bool)
+    maybe[terms & (len(maybe) - 1)] = True
     return Index(
         terms, starts, items, weights, np.searchsorted(block_term, np.arange(len(terms) + 1)), cells % (len(names) // BLOCK + 1), block_max,
-        most, needed, float(spare.max()) if len(spare) else 0.0, names, int(parsed["length"].max()) if len(parsed) else 1, parts,
+        most, needed, float(spare.max()) if len(spare) else 0.0, names, int(parsed["length"].max()) if len(parsed) else 1, parts, maybe,
     )
 
 
@@ -209,6 +213,16 @@ def sequence_shingles(hashes: np.ndarray, n: int) -> np.ndarray:
     return np.concatenate(spans) if spans else np.zeros(0, np.int64)
 
 
+def indexes(items: DataFrame, threshold: float):
+    """The indexes of all items (item_id, text), of at most about `INDEX_ITEMS` each; an empty one without items."""
+    parsed = store(parsed_items(items), "items-parsed")
+    weights = store(impacts(parsed), "impacts")
+    parts = max(1, -(-parsed.count() // INDEX_ITEMS))
+    piece = F.pmod(F.xxhash64("item_id"), F.lit(parts))
+    for p in range(parts):
+        yield build_index(parsed.where(piece == p).toPandas(), weights.where(piece == p).toPandas(), threshold)
+
+
 def contaminated(
     docs: DataFrame, items: DataFrame, *, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text",
     threshold: float = THRESHOLD,
@@ -232,48 +246,68 @@ def contaminated(
     # items get a number of their own, so that repeated ids stay apart
     items = items.select(F.col(item).cast("long").alias("_name"), F.col(item_text).alias("text"))
     items = store(items.withColumn("item_id", F.monotonically_increasing_id()), "items")
-    parsed = store(parsed_items(items.select("item_id", "text")), "items-parsed")
-    weights = store(impacts(parsed), "impacts")
-    parts = -(-parsed.count() // INDEX_ITEMS)
-    piece = F.pmod(F.xxhash64("item_id"), F.lit(max(parts, 1)))
     hits = None
-    for p in range(parts):
-        index = build_index(parsed.where(piece == p).toPandas(), weights.where(piece == p).toPandas(), threshold)
+    for index in indexes(items.select("item_id", "text"), threshold):
         some = search_documents(docs, index, threshold)
         hits = some if hits is None else hits.unionByName(some)
-    if hits is None:
-        hits = search_documents(docs.limit(0), build_index(parsed.limit(0).toPandas(), weights.limit(0).toPandas(), threshold), threshold)
     named = hits.join(items.select("item_id", "_name"), "item_id")
     rank = F.struct("question_overlap", "answer_overlap", "score", -F.col("position"))
     best = named.groupBy("_doc", "_name").agg(F.max_by(F.struct("score", "question_overlap", "answer_overlap", "position"), rank).alias("best"))
     return best.select(F.col("_doc").alias(key), F.col("_name").alias("item_id"), "best.*")
 
 
+def verified(index: Index, texts: pa.Array, threshold: float):
+    """(text, item, score, question overlap, answer overlap, position) of all items that the texts repeat."""
+    hashes, first = word_hashes(folded(texts), SIGNS)
+    signed = hashes.view(np.int64)
+    found = np.full(len(hashes), -1, np.int64)
+    near = np.flatnonzero(index.maybe[signed & (len(index.maybe) - 1)])
+    place = np.minimum(np.searchsorted(index.terms, signed[near]), len(index.terms) - 1)
+    same = index.terms[place] == signed[near] if len(index.terms) else np.zeros(len(near), bool)
+    found[near[same]] = place[same]
+    starts, ends, owner = windows(first, index.words)
+    for passage, item, score in search(index, found, starts, ends, threshold):
+        good, asked, answered = verdict(hashes[starts[passage] : ends[passage]], index.parts[item])
+        if good:
+            doc = int(owner[passage])
+            yield doc, int(index.names[item]), score, asked, answered, int(starts[passage] - first[doc])
+
+
 def search_documents(docs: DataFrame, index: Index, threshold: float) -> DataFrame:
     held = docs.sparkSession.sparkContext.broadcast(index)
     schema = "_doc long, item_id long, score double, question_overlap double, answer_overlap double, position long"
 
     def rows(batches):
-        index = held.value
-        maybe = np.zeros(1 << 20, bool)
-        maybe[index.terms & (len(maybe) - 1)] = True
         for batch in pieces(batches, "_text"):
-            hashes, first = word_hashes(folded(batch.column("_text")), SIGNS)
-            signed = hashes.view(np.int64)
-            found = np.full(len(hashes), -1, np.int64)
-            near = np.flatnonzero(maybe[signed & (len(maybe) - 1)])
-            place = np.minimum(np.searchsorted(index.terms, signed[near]), len(index.terms) - 1)
-            same = index.terms[place] == signed[near] if len(index.terms) else np.zeros(len(near), bool)
-            found[near[same]] = place[same]
-            starts, ends, owner = windows(first, index.words)
-            out = []
-            for passage, item, score in search(index, found, starts, ends, threshold):
-                good, asked, answered = verdict(hashes[starts[passage] : ends[passage]], index.parts[item])
-                if good:
-                    doc = int(owner[passage])
-                    out.append((batch.column("_doc")[doc].as_py(), int(index.names[item]), score, asked, answered, int(starts[passage] - first[doc])))
+            out = list(verified(held.value, batch.column("_text"), threshold))
             if out:
-                kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.int64()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], [f.split()[0] for f in schema.split(", ")])
+                columns = list(zip(*out))
+                kinds = [pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.int64()]
+                keys = batch.column("_doc").take(pa.array(columns[0]))
+                yield pa.RecordBatch.from_arrays([keys, *[pa.array(c, k) for c, k in zip(columns[1:], kinds)]], [f.split()[0] for f in schema.split(", ")])
 
     return docs.mapInArrow(rows, schema)
+
+
+def drop_contaminated(docs: DataFrame, items: DataFrame, *, text: str = "text", item_text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of `docs` that repeat no test item (see `contaminated`), all columns as they are.
+
+    Rows are judged one by one where they lie, so null and repeated keys need no care; rows with a null or empty
+    text stay. Without items all rows stay. An empty table gives an empty table.
+    """
+    prepare(docs.sparkSession)
+    for index in indexes(items.select(F.col(item_text).alias("text")).withColumn("item_id", F.monotonically_increasing_id()), threshold):
+        docs = without_hits(docs, text, index, threshold)
+    return docs
+
+
+def without_hits(docs: DataFrame, text: str, index: Index, threshold: float) -> DataFrame:
+    held = docs.sparkSession.sparkContext.broadcast(index)
+
+    def rows(batches):
+        for batch in pieces(batches, text):
+            clean = np.ones(batch.num_rows, bool)
+            clean[[hit[0] for hit in verified(held.value, batch.column(text), threshold)]] = False
+            yield batch.filter(pa.array(clean))
+
+    return docs.mapInArrow(rows, docs.schema)

@@ -239,6 +239,21 @@ def fit(learn: DataFrame, vocabulary_path: str = VOCABULARY, rows_per_language:
 # -- scoring -------------------------------------------------------------------------------------------------------
 
 
+def classify(model: Model, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The number of each text's best language (beyond the last: undetermined) and its posterior."""
+    words, number, first = distinct_words(texts)
+    if not model.langs:
+        return np.full(len(texts), 0), np.zeros(len(texts))
+    scores = word_scores(model.vocabulary, words, model.chances)
+    sums = np.vstack([np.zeros((1, len(model.langs))), np.cumsum(scores[number], 0)]) if len(number) else np.zeros((1, len(model.langs)))
+    total = sums[first[1:]] - sums[first[:-1]] + model.priors
+    best = total.argmax(1)
+    score = 1 / np.exp(total - total.max(1, keepdims=True)).sum(1)
+    empty = first[1:] == first[:-1]
+    best[empty], score[empty] = len(model.langs), 0.0
+    return best, score
+
+
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, lang_pred, score for rows of (doc_id, text), without a shuffle."""
     held = docs.sparkSession.sparkContext.broadcast(model)
@@ -247,23 +262,33 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
         model = held.value
         names = np.array([*model.langs, "und"], object)
         for batch in pieces(batches, "text"):
-            words, number, first = distinct_words(batch.column("text"))
-            size = batch.num_rows
-            if not model.langs:
-                best, score = np.full(size, 0), np.zeros(size)
-            else:
-                scores = word_scores(model.vocabulary, words, model.chances)
-                sums = np.vstack([np.zeros((1, len(model.langs))), np.cumsum(scores[number], 0)]) if len(number) else np.zeros((1, len(model.langs)))
-                total = sums[first[1:]] - sums[first[:-1]] + model.priors
-                best = total.argmax(1)
-                score = 1 / np.exp(total - total.max(1, keepdims=True)).sum(1)
-                empty = first[1:] == first[:-1]
-                best[empty], score[empty] = len(model.langs), 0.0
+            best, score = classify(model, batch.column("text"))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(names[best], pa.string()), pa.array(score)], ["doc_id", "lang_pred", "score"])
 
     return docs.select("doc_id", "text").mapInArrow(rows, "doc_id long, lang_pred string, score double")
 
 
+def keep_identified(docs: DataFrame, least: float, learn: DataFrame | None = None, *, text: str = "text", **options) -> DataFrame:
+    """The rows of `docs` whose language is determined with a posterior of at least `least`, all columns as they are.
+
+    The model is fitted on `learn` (by default `docs`; doc_id, text, lang) as in `identify`. Rows with a null text
+    or one without a letter go, and all rows if there is nothing to learn from. Rows are judged one by one where they
+    lie, so null and repeated keys need no care. An empty table gives an empty table.
+    """
+    prepare(docs.sparkSession)
+    learn = docs if learn is None else learn
+    model = fit(learn.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text"), F.col("lang").cast("string").alias("lang")), **options)
+    held = docs.sparkSession.sparkContext.broadcast(model)
+
+    def rows(batches):
+        model = held.value
+        for batch in pieces(batches, text):
+            best, score = classify(model, batch.column(text))
+            yield batch.filter(pa.array((best < len(model.langs)) & (score >= least)))
+
+    return docs.mapInArrow(rows, docs.schema)
+
+
 def identify(docs: DataFrame, learn: DataFrame | None = None, **options) -> DataFrame:
     """doc_id, lang_pred, score of every row of `docs` (doc_id, text), by a model fitted on `learn` (doc_id, text, lang).
 
