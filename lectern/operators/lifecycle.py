@@ -19,7 +19,7 @@ PROTECTED_TENANT = "benchmark"
 
 
 def upsert_latest(base: DataFrame, updates: DataFrame, keys: Sequence[str], order: str, preserved: Sequence[str] = ()) -> DataFrame:
-    """`base` after keyed updates: the last update of a key wins, nulls leave the stored value.
+    """`base` after keyed updates: the last update of a key wins as a whole, its nulls clear the stored value.
 
     Columns in `preserved` keep the stored value of existing rows.
     """
@@ -31,7 +31,7 @@ def upsert_latest(base: DataFrame, updates: DataFrame, keys: Sequence[str], orde
     def merged(c: str) -> Column:
         if c in preserved:
             return F.when(F.col("_old").isNotNull(), F.col(c)).otherwise(F.col(f"new_{c}"))
-        return F.coalesce(f"new_{c}", c)
+        return F.when(F.col("_new").isNotNull(), F.col(f"new_{c}")).otherwise(F.col(c))
 
     return joined.select(*keys, *[merged(c).alias(c) for c in columns])
 

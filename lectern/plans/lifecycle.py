@@ -25,7 +25,7 @@ def _sql(text):
 
 
 @query("upsert_latest", f"""WITH b AS ({_sql(_BASE)}), u AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id, user_id ORDER BY event_id DESC) AS n FROM ({_sql(_UPDATES)})) WHERE n = 1)
-    SELECT id, user_id, coalesce(u.title, b.title) AS title, CAST(coalesce(u.due, b.due) AS VARCHAR) AS due, coalesce(u.status, b.status) AS status, CAST(CASE WHEN b.title IS NOT NULL THEN b.weight ELSE u.weight END AS DOUBLE) AS weight FROM b FULL JOIN u USING (id, user_id)""")
+    SELECT id, user_id, CASE WHEN u.n = 1 THEN u.title ELSE b.title END AS title, CAST(CASE WHEN u.n = 1 THEN u.due ELSE b.due END AS VARCHAR) AS due, CASE WHEN u.n = 1 THEN u.status ELSE b.status END AS status, CAST(CASE WHEN b.id IS NOT NULL THEN b.weight ELSE u.weight END AS DOUBLE) AS weight FROM b FULL JOIN u USING (id, user_id)""")
 def upsert_latest(t):
     base = t.spark.sql(_BASE, assessments_v=t("assessments_v")).withColumn("weight", F.col("weight").cast("double"))
     updates = t.spark.sql(_UPDATES, events=t("events")).withColumn("weight", F.col("weight").cast("double"))
