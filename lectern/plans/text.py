@@ -1,5 +1,6 @@
 """Text queries: token estimates, blocks, chunks, labels, features, extractive answers."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lectern.functions import fixed_values as V
@@ -88,11 +89,12 @@ def page_blocks(t):
 
 
 def grouped_blocks(t):
-    """Blocks of each document as one file: a chapter every five paragraphs."""
+    """Blocks of each document as one file: a chapter every five paragraphs, parents may run over pages."""
     pages = t("math_pages_v").select("doc_id", "page", F.lit(0).alias("seg"), "text")
     blocks = C.segment_blocks(pages, ["doc_id", "page"])
-    blocks = blocks.withColumn("chapter_num", F.floor(F.col("para") / 5) + 1)
-    return C.parent_groups(blocks, ["doc_id", "page"])
+    order = Window.partitionBy("doc_id").orderBy("page", "block_no")
+    blocks = blocks.withColumn("chapter_num", F.floor(F.col("para") / 5) + 1).withColumn("block_no", F.row_number().over(order) - 1)
+    return C.parent_groups(blocks, ["doc_id"])
 
 
 @query("math_normalise")
@@ -113,11 +115,9 @@ def parent_groups(t):
 
 @query("child_chunks")
 def child_chunks(t):
-    keys = ["doc_id", "page"]
     grouped = grouped_blocks(t)
     ids = X.chunk_key(F.concat(F.lit("u"), (F.col("doc_id") % 3).cast("string")), F.concat(F.lit("d"), F.col("doc_id").cast("string")), F.col("ordinal"))
-    grouped = grouped.withColumn("at_page", F.col("page"))
-    out = C.child_chunks(grouped, keys)
+    out = C.child_chunks(grouped, ["doc_id"])
     return out.withColumn("chunk_id", ids)
 
 

@@ -38,3 +38,9 @@ def test_query_equals_sql(spark, folder, duck, name):
 def test_register_is_complete():
     assert set(ORACLES) <= set(QUERIES)
     assert len(QUERIES) > 150
+
+
+def test_child_chunks_can_be_written(spark, folder, tmp_path):
+    QUERIES["child_chunks"](spark, folder).write.parquet(str(tmp_path / "chunks"))
+    chunks = spark.read.parquet(str(tmp_path / "chunks"))
+    assert chunks.count() == chunks.select("chunk_id").distinct().count() > 0
