@@ -106,7 +106,8 @@ def mix_sources(
 
     raw = F.when(F.col("tokens") > 0, F.pow(F.col("tokens") / F.lit(float(max(whole, 1))), F.lit(exponent)))
     norm = totals.agg(F.coalesce(F.sum(raw), F.lit(1.0))).first()[0]
-    due = F.floor(F.lit(float(budget)) * raw / F.lit(norm)).cast("long")
+    # a sum of doubles depends on its order in the last bits, which must not cost a whole token where the share is exact
+    due = F.floor(F.round(F.lit(float(budget)) * raw / F.lit(norm), 6)).cast("long")
     passes = totals.where("tokens > 0").select(
         F.col("source").alias("_s"), F.expr("tokens").alias("_t"), due.alias("_due")
     ).select("_s", F.floor(F.col("_due") / F.col("_t")).cast("int").alias("passes"), (F.col("_due") % F.col("_t")).alias("rest"))
