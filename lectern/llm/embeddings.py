@@ -13,18 +13,27 @@ from lectern.llm.components import connected
 from lectern.llm.shared import prepare, store
 
 COSINE = 0.9
-#: Cells: about half the root of the number of vectors, so at most so many centres are sent to a task.
+#: Vectors for each cell: fewer make more cells, and where dimensions are many a vector visits most of them, so each
+#: cell costs copies. At most so many centres are sent to a task.
+PER_CELL = 4096
 MOST_CELLS = 2048
 ROUNDS = 4
-#: A vector also visits the cells whose boundary with its own lies nearer than this. A pair at cosine c is at most
-#: sqrt(2 - 2c) apart, and of the two ways to the other's cell one takes at most half of it: 0.2237 loses no pair at
-#: 0.9. Along a random direction the distance is a small part of that; 0.1 finds all but a few in ten thousand of
-#: the pairs at 0.9 in 64 dimensions, and more of the closer ones.
-MARGIN = 0.1
-#: Vectors in a block; a task holds the product of two blocks.
+#: Added to the distance that decides on a visit: more than what rounding can take from it.
+SLACK = 1e-8
+#: Vectors in a tile; a task holds the product of two tiles. Hosts come in blocks of at most about 4 tiles, the
+#: vectors that meet them in slices of about 8.
 BLOCK = 2048
 
 
+def lossless(cosine: float) -> float:
+    """A vector also visits the cells whose boundary with its own lies nearer than this.
+
+    A pair at this cosine is at most sqrt(2 - 2 cosine) apart, and of the two ways to the other's cell one takes at
+    most half of it: one of the two visits the other, and no pair is lost.
+    """
+    return float(np.sqrt(2 - 2 * cosine) / 2)
+
+
 def unit(packed, kind: str) -> np.ndarray:
     """Rows of unit length in double precision."""
     rows = np.stack([np.frombuffer(p, kind) for p in packed]).astype(np.float64)
@@ -32,20 +41,14 @@ def unit(packed, kind: str) -> np.ndarray:
     return rows / np.sqrt((rows * rows).sum(1, keepdims=True))
 
 
-def margins(x: np.ndarray, own: np.ndarray, centres: np.ndarray, gaps: np.ndarray, cells: np.ndarray) -> np.ndarray:
-    """Distance of each row of `x` from the boundary between its own cell and the cell beside it."""
-    inner = (x * centres[own]).sum(1) - (x * centres[cells]).sum(1)
-    return inner / np.maximum(gaps[own, cells], 1e-12)
-
-
 def distances(centres: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(2 - 2 * centres @ centres.T, 0))
 
 
-def fit_centres(vectors: DataFrame, n: int, dim: int, kind: str) -> np.ndarray:
+def fit_centres(vectors: DataFrame, n: int, per_cell: int, kind: str) -> np.ndarray:
     """Spherical k-means over all vectors; a round sends back one sum for each cell and dimension."""
     spark = vectors.sparkSession
-    k = int(np.clip(round(np.sqrt(n) / 2), 1, MOST_CELLS))
+    k = int(np.clip(round(n / per_cell), 1, MOST_CELLS))
     first = vectors.orderBy(F.xxhash64("cid"), "cid").limit(k).select("packed").toPandas()["packed"]
     centres = unit(first, kind)
     for _ in range(ROUNDS):
@@ -71,26 +74,27 @@ def fit_centres(vectors: DataFrame, n: int, dim: int, kind: str) -> np.ndarray:
 
 
 def assigned(vectors: DataFrame, centres: np.ndarray, margin: float, kind: str) -> DataFrame:
-    """A row for each vector in its home cell, and for each cell that it visits."""
+    """A row for each vector in its home cell, and for each cell that it visits; `visits` has a bit for each cell."""
     held = vectors.sparkSession.sparkContext.broadcast(centres)
-    names = ["cell", "home", "cid", "copies", "packed"]
+    names = ["cell", "home", "visits", "cid", "copies", "packed"]
 
     def rows(batches):
         centres = held.value
-        gaps = np.maximum(distances(centres), 1e-12)
+        gaps = distances(centres)
         for batch in batches:
             if not batch.num_rows:
                 continue
             x = unit(batch.column("packed").to_pylist(), kind)
             near = x @ centres.T
             own = near.argmax(1)
-            beside = (near[np.arange(len(x)), own][:, None] - near) / gaps[own] <= margin
+            beside = near[np.arange(len(x)), own][:, None] - near <= margin * gaps[own] + SLACK
             beside[np.arange(len(x)), own] = True
             row, cell = np.nonzero(beside)
             at = pa.array(row)
-            yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(own[row]), *[batch.column(c).take(at) for c in names[2:]]], names)
+            visits = pa.array([bits.tobytes() for bits in np.packbits(beside, axis=1)], pa.binary()).take(at)
+            yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(own[row]), visits, *[batch.column(c).take(at) for c in names[3:]]], names)
 
-    return vectors.select("cid", "copies", "packed").mapInArrow(rows, "cell long, home long, cid long, copies long, packed binary")
+    return vectors.select("cid", "copies", "packed").mapInArrow(rows, "cell long, home long, visits binary, cid long, copies long, packed binary")
 
 
 def spanning(links: np.ndarray) -> np.ndarray:
@@ -109,45 +113,52 @@ def spanning(links: np.ndarray) -> np.ndarray:
     return label
 
 
-def block_links(centres, margin: float, cosine: float, kind: str):
+def block_links(cosine: float, kind: str, tile: int):
     def compare(key, group):
-        """Links of two blocks of a cell: sums of copies for each vector, and a forest of links."""
-        cell, i, j = key
-        x = unit(group["packed"], kind)
-        block, home, cid, copies = (group[c].to_numpy() for c in ("block", "home", "cid", "copies"))
-        held = centres.value
-        gaps = distances(held)
-        linked = x @ x.T >= cosine
-        linked &= (home == cell)[:, None] | (home == cell)[None, :]
-        linked &= np.triu(np.ones(linked.shape, bool), 1)
-        if i != j:
-            linked &= block[:, None] != block[None, :]
-        a, b = np.nonzero(linked)
-        # a pair with two homes that meets in both counts where the number of the home is smaller
-        away = home[a] != home[b]
-        host, guest = np.where(home[a] == cell, a, b), np.where(home[a] == cell, b, a)
-        other = home[guest]
-        again = away & (other < cell)
-        again[again] = margins(x[host[again]], home[host[again]], held, gaps, other[again]) <= margin
-        a, b = a[~again], b[~again]
-        linked[:] = False
-        linked[a, b] = linked[b, a] = True
-        root = spanning(linked)
-        rows = np.flatnonzero(linked.any(1))
-        return pd.DataFrame({"cid": cid[rows], "root": cid[root[rows]], "links": linked[rows] @ copies})
+        """Links of a block of a cell's own vectors with a slice of all that are in the cell: sums of copies for each
+        vector, and a forest of links."""
+        cell = key[0]
+        hosts, others = group[group["host"]], group[~group["host"]]
+        done = []
+        for start in range(0, len(hosts), tile):
+            host = hosts.iloc[start : start + tile]
+            x, host_cid, host_copies = unit(host["packed"], kind), host["cid"].to_numpy(), host["copies"].to_numpy()
+            visits = np.unpackbits(np.stack([np.frombuffer(v, np.uint8) for v in host["visits"]]), axis=1)
+            for begin in range(0, len(others), tile):
+                other = others.iloc[begin : begin + tile]
+                home, cid, copies = (other[c].to_numpy() for c in ("home", "cid", "copies"))
+                a, b = np.nonzero(x @ unit(other["packed"], kind).T >= cosine)
+                # a pair that meets in both homes counts where the number of the home is smaller
+                again = (home[b] < cell) & (visits[a, home[b]] == 1)
+                ok = (host_cid[a] != cid[b]) & ~again
+                a, b = a[ok], b[ok]
+                if not len(a):
+                    continue
+                # two of the cell's own meet twice, each once as the host
+                guest = home[b] != cell
+                ends = np.concatenate([host_cid[a], cid[b]])
+                nodes, at = np.unique(ends, return_inverse=True)
+                left, right = at[: len(a)], at[len(a) :]
+                links = np.bincount(left, copies[b], len(nodes))
+                links += np.bincount(right[guest], host_copies[a[guest]], len(nodes))
+                linked = np.zeros((len(nodes), len(nodes)), bool)
+                linked[left, right] = linked[right, left] = True
+                done.append(pd.DataFrame({"cid": nodes, "root": nodes[spanning(linked)], "links": links.astype(np.int64)}))
+        return pd.concat(done) if done else pd.DataFrame({c: np.zeros(0, np.int64) for c in ("cid", "root", "links")})
 
     return compare
 
 
 def dedup_embeddings(
-    df: DataFrame, *, key: str = "vec_id", vector: str = "embedding", cosine: float = COSINE, margin: float = MARGIN, block: int = BLOCK
-) -> DataFrame:
+    df: DataFrame, *, key: str = "vec_id", vector: str = "embedding", cosine: float = COSINE, margin: float | None = None,
+    per_cell: int = PER_CELL, block: int = BLOCK,
+) -> DataFrame:
     """Vectors linked by cosine of at least `cosine`, in double precision: key, n_links, component_id, kept.
 
     Equal vectors become one class with a number of copies. Classes get a cell by spherical k-means fitted on all of
-    them, and visit the cells near whose boundary they lie (see MARGIN). Cells are cut into blocks; a task multiplies
-    two blocks, adds up links and keeps a spanning forest of them, so pairs are never rows. Pairs found are exact;
-    with a margin of sqrt(2 - 2 cosine) / 2 or more none is missed.
+    them, and visit the cells near whose boundary they lie. A task multiplies a block of a cell's own vectors with a
+    slice of all that are in the cell, adds up links and keeps a spanning forest of them, so pairs are never rows.
+    No pair is missed (see `lossless`), unless a smaller `margin` is asked for.
 
     Null vectors, zero vectors and those with a null or non-finite component link with nothing and are their own
     component; so are rows with a null key, whose component is null and who are not kept. Vectors link only with
@@ -156,6 +167,7 @@ def dedup_embeddings(
     """
     spark = df.sparkSession
     prepare(spark)
+    margin = lossless(cosine) if margin is None else margin
     element = df.schema[vector].dataType.elementType
     kind, word = ("f4", "float") if isinstance(element, (T.FloatType, T.ByteType, T.ShortType)) else ("f8", "double")
     v = F.col("_v")
@@ -178,15 +190,19 @@ def dedup_embeddings(
     found = None
     for dim, n in sorted((r["dim"], r["n"]) for r in classes.groupBy("dim").agg(F.count("*").alias("n")).collect()):
         mine = classes.where(F.col("dim") == dim)
-        centres = fit_centres(mine, n, dim, kind)
+        centres = fit_centres(mine, n, per_cell, kind)
         placed = store(assigned(mine, centres, margin, kind), "cells")
-        sizes = placed.groupBy("cell").agg(F.ceil(F.count("*") / block).cast("long").alias("blocks"))
+        own = F.col("home") == F.col("cell")
+        parts = [F.ceil(F.count_if(own) / (4 * block)).cast("long").alias("blocks"), F.ceil(F.count("*") / (8 * block)).cast("long").alias("slices")]
+        sizes = placed.groupBy("cell").agg(*parts).where("blocks > 0")
         dealt = placed.join(F.broadcast(sizes), "cell")  # one row for each of at most MOST_CELLS cells
-        dealt = dealt.withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")))
-        dealt = dealt.withColumn("partner", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-        dealt = dealt.withColumn("i", F.least("block", "partner")).withColumn("j", F.greatest("block", "partner"))
-        compare = block_links(spark.sparkContext.broadcast(centres), margin, cosine, kind)
-        some = dealt.groupBy("cell", "i", "j").applyInPandas(compare, "cid long, root long, links long")
+        block_no, slice_no = (F.pmod(F.xxhash64("cid"), F.col(c)) for c in ("blocks", "slices"))
+        every = {c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1)) for c in ("blocks", "slices")}
+        columns = ["cell", "home", "visits", "cid", "copies", "packed"]
+        hosts = dealt.where(own).select(*columns, F.lit(True).alias("host"), block_no.alias("i"), every["slices"].alias("j"))
+        others = dealt.select(*columns, F.lit(False).alias("host"), every["blocks"].alias("i"), slice_no.alias("j"))
+        compare = block_links(cosine, kind, block)
+        some = hosts.unionByName(others).groupBy("cell", "i", "j").applyInPandas(compare, "cid long, root long, links long")
         found = some if found is None else found.unionByName(some)
     if found is None:
         found = spark.createDataFrame([], "cid long, root long, links long")

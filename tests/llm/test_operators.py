@@ -182,6 +182,19 @@ def test_embeddings_with_the_default_margin_find_nine_links_in_ten(spark):
     assert (found <= links).all() and found.sum() >= 0.9 * links.sum()
 
 
+def test_embeddings_by_default_lose_no_link_at_a_boundary(spark):
+    rng, pairs = np.random.default_rng(5), []
+    for v in rng.normal(size=(150, 8)):
+        u = rng.normal(size=8)
+        v, u = v / np.linalg.norm(v), u - (u @ v) * v / (v @ v)
+        pairs += [v, 0.901 * v + np.sqrt(1 - 0.901**2) * u / np.linalg.norm(u)]
+    links = all_links(pairs).sum(1)
+    got = deduplicated(spark, pairs, per_cell=20, block=8)
+    assert [got[i]["n_links"] for i in range(len(pairs))] == list(links)
+    short = deduplicated(spark, pairs, per_cell=20, block=8, margin=0.1)
+    assert sum(r["n_links"] for r in short.values()) < links.sum()
+
+
 def test_url_rules_and_edges(spark):
     urls = [None, "", "no scheme", "http://A.Example.ORG/es/x?q#f", "http://example.org/en/1", "http://x.com/fr/", "http://x.com/de/a", "ftp://h?q/"]
     rows = judge_urls(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")).orderBy("page_id").collect()
