@@ -128,6 +128,25 @@ def test_pseudonyms_keep_format_links_and_order_of_text(spark):
     assert pseudonymise(docs.limit(0)).count() == 0
 
 
+def test_pseudonyms_are_found_behind_other_numbers(spark):
+    card, bare, account = "4111 1111 1111 1111", "4785380592391139", "DE89 3704 0044 0532 0130 00"
+    texts = [
+        f"Pay {card} now", f"in 2020 {card}", f"+1 {card}", f"{card} {card} 7", f"item 7 {bare}", bare, account, account.replace(" ", ""), f"{account} 2020",
+        "25/12/1990", "25.12.1990", f"{card} 25.12.1990", "1 2 3 4 555-234-4567", "555-234-4567", "4111 1111 1111 1112",
+        "ES91 2100 0418 4502 0005 1332 " + card, f"{bare} a1@example.org",
+    ]
+    rows = {r["doc_id"]: r for r in pseudonymise(documents(spark, texts)).collect()}
+    got = [rows[i]["text"] for i in range(len(texts))]
+    new, new_bare, new_account = got[0][4:23], got[5], got[6]
+    assert new != card and luhn(new) and new_bare != bare and luhn(new_bare)
+    assert got[1:5] == [f"in 2020 {new}", f"+1 {new}", f"{new} {new} 7", f"item 7 {new_bare}"] and rows[3]["n_pseudonyms"] == 2
+    assert new_account != account and [len(g) for g in new_account.split(" ")] == [4, 4, 4, 4, 4, 2]
+    assert got[7] == new_account.replace(" ", "") and got[8] == f"{new_account} 2020"
+    assert got[9] != texts[9] and got[9] == got[10].replace(".", "/") and got[11] == f"{new} {got[10]}"
+    assert got[12] == f"1 2 3 4 {got[13]}" and got[13] != texts[13] and got[14] == texts[14]
+    assert got[15].endswith(new) and got[15][:29] != texts[15][:29] and got[16].startswith(f"{new_bare} ") and rows[16]["n_pseudonyms"] == 2
+
+
 def test_pseudonyms_are_a_permutation(spark):
     numbers = spark.range(100, 900).select(F.col("id").alias("doc_id"), F.concat(F.lpad(F.col("id").cast("string"), 3, "0"), F.lit("-12-3456")).alias("text"))
     numbers = numbers.where("doc_id <> 666")
