@@ -7,8 +7,11 @@ from lectern.llm.embeddings import dedup_embeddings, dedup_embeddings_sql
 from lectern.llm.jaccard import similar_components_query, similar_components_sql
 from lectern.llm.langid import identify_query
 from lectern.llm.mixing import mix_sources, mix_sources_sql
+from lectern.llm.negatives import mine_negatives_query, mine_negatives_sql
 from lectern.llm.perplexity import quality_query
 from lectern.llm.pii import pseudonymise_query
+from lectern.llm.recurrent import log_likelihood
+from lectern.llm.resampling import resample, resample_sql
 from lectern.llm.shared import prepare, table
 from lectern.llm.toxicity import toxicity_query
 from lectern.llm.url_filter import judge_urls, judge_urls_sql
@@ -40,6 +43,10 @@ def toxic_texts(spark, folder):
     return toxicity_query(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+def resampled(spark, folder):
+    return resample(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 QUERIES = {
     "op1_pii_pseudonyms": on("documents", pseudonymise_query),
     "op6_arc_to_warc": on("pages", archive_pages_query),
@@ -51,6 +58,9 @@ QUERIES = {
     "op8_mixing": on("documents", mix_sources),
     "op9_jaccard_join": on("documents", similar_components_query),
     "op10_url_filter": on("pages", judge_urls),
+    "op11_recurrent_scores": on("documents", log_likelihood),
+    "op12_importance_resampling": resampled,
+    "op13_hard_negatives": on("embeddings", mine_negatives_query),
 }
 
 ORACLES = {
@@ -59,4 +69,6 @@ ORACLES = {
     "op8_mixing": mix_sources_sql(),
     "op9_jaccard_join": similar_components_sql(),
     "op10_url_filter": judge_urls_sql(),
+    "op12_importance_resampling": resample_sql(),
+    "op13_hard_negatives": mine_negatives_sql(),
 }
