@@ -170,7 +170,7 @@ exponent AS (SELECT greatest(CASE WHEN flat_enough THEN 1.0 ELSE a END,
                              CASE WHEN few_repeats THEN 0.0 WHEN never THEN 1.0 ELSE b + {step!r} END) AS e
              FROM search, measure WHERE k = {bits}),
 weights AS (SELECT source, tokens, pow(tokens / t, e) AS w, t FROM totals, whole, exponent WHERE tokens > 0),
-due AS (SELECT source, tokens, floor(t * w / (SELECT sum(w) FROM weights))::BIGINT AS due FROM weights),
+due AS (SELECT source, tokens, floor(round(t * w / (SELECT sum(w) FROM weights), 6))::BIGINT AS due FROM weights),
 passes AS (SELECT source AS s, (due // tokens)::INTEGER AS passes, due % tokens AS rest FROM due),
 planned AS (
   SELECT source, block, tokens, passes, rest, COALESCE(sum(tokens) OVER (PARTITION BY source
