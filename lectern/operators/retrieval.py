@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from lectern.functions import fixed_values as V
 from lectern.functions import text as X
 from lectern.functions.common import exact_sum, first_row, let, matches, spread, top_rows
+from lectern.operators.dense import dense_topk
+from lectern.operators.features import TextEncoder, project
 from lectern.session import cut_lineage
 
 
@@ -141,82 +143,7 @@ def bm25_topk(
     return top_rows(scores, key, [F.desc("score"), F.asc("chunk_id")], k)
 
 
-# --- dense retrieval -----------------------------------------------------------------------
-
-_PACKED = "user_id string, {0}_ids binary, {0}_vectors binary, {0}_dim int"
-_BLOCK_FLOATS = 8192
-_CARRY_ROWS = 2_000_000
-
-
-def _pack(df: DataFrame, id_col: str, name: str) -> DataFrame:
-    """Rows to blocks of at most 32 KB of vectors per tenant, inside each partition."""
-
-    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            for user, rows in batch.groupby("user_id", sort=False):
-                matrix = np.stack(rows["embedding"].to_numpy()).astype(np.float32)
-                ids = rows[id_col].to_numpy(dtype=np.int64)
-                step = max(8, _BLOCK_FLOATS // matrix.shape[1])
-                for at in range(0, len(ids), step):
-                    piece = matrix[at : at + step]
-                    out.append((user, ids[at : at + step].tobytes(), piece.tobytes(), piece.shape[1]))
-            yield pd.DataFrame(out, columns=["user_id", f"{name}_ids", f"{name}_vectors", f"{name}_dim"])
-
-    return df.select("user_id", id_col, "embedding").mapInPandas(pack, _PACKED.format(name))
-
-
-def _unit(raw: bytes, dim: int) -> np.ndarray:
-    matrix = np.frombuffer(raw, np.float32).reshape(-1, dim).astype(np.float64)
-    norms = np.linalg.norm(matrix, axis=1, keepdims=True)
-    return matrix / np.where(norms == 0, 1.0, norms)
-
-
-def dense_topk(queries: DataFrame, vectors: DataFrame, k: int = V.DENSE_TOP_K) -> DataFrame:
-    """(user_id, q_id, chunk_id, score, rank): exact cosine top-k of every query in its tenant.
-
-    Both sides travel as packed blocks joined on the tenant, so one joined row is a block-by-block
-    matrix product. Each task keeps a running top-k per query; only those rows are shuffled.
-    """
-    pairs = _pack(vectors, "chunk_id", "c").join(_pack(queries, "q_id", "q"), "user_id")
-
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def best(frame: pd.DataFrame) -> pd.DataFrame:
-            ordered = frame.sort_values(["user_id", "q_id", "score", "chunk_id"], ascending=[True, True, False, True])
-            return ordered.groupby(["user_id", "q_id"], sort=False).head(k)
-
-        carried: pd.DataFrame | None = None
-        for batch in batches:
-            found = [] if carried is None else [carried]
-            for row in batch.itertuples(index=False):
-                q_ids = np.frombuffer(row.q_ids, np.int64)
-                c_ids = np.frombuffer(row.c_ids, np.int64)
-                query_rows = np.frombuffer(row.q_vectors, np.float32).reshape(-1, row.q_dim)
-                live = np.abs(query_rows).sum(axis=1) > 0
-                scores = np.round(_unit(row.q_vectors, row.q_dim) @ _unit(row.c_vectors, row.c_dim).T, 4) + 0.0
-                found.append(
-                    pd.DataFrame(
-                        {
-                            "user_id": row.user_id,
-                            "q_id": np.repeat(q_ids[live], len(c_ids)),
-                            "chunk_id": np.tile(c_ids, int(live.sum())),
-                            "score": scores[live].ravel(),
-                        }
-                    )
-                )
-                if sum(len(f) for f in found) > _CARRY_ROWS:
-                    found = [best(pd.concat(found))]
-            if found:
-                carried = best(pd.concat(found))
-                if len(carried) > _CARRY_ROWS:
-                    yield carried
-                    carried = None
-        if carried is not None:
-            yield carried
-
-    scored = pairs.mapInPandas(score, "user_id string, q_id bigint, chunk_id bigint, score double")
-    return top_rows(scored, ["user_id", "q_id"], [F.desc("score"), F.asc("chunk_id")], k)
-
+# --- vectors ---------------------------------------------------------------------------------
 
 def l2_normalise(vectors: DataFrame, column: str = "embedding") -> DataFrame:
     """Unit vectors; a zero vector stays zero."""
@@ -447,68 +374,147 @@ def refusal_decision(confidence: DataFrame, threshold: float = V.REFUSAL_THRESHO
 # --- whole search --------------------------------------------------------------------------------------
 
 
+@dataclass
+class DenseIndex:
+    """Vectors of the chunks, and how a table of texts gets vectors of the same kind."""
+
+    vectors: DataFrame  # user_id, chunk_id, course_id, chapter_num, embedding
+    encode: Callable[[DataFrame, list[str]], DataFrame]  # (texts with key and text, key) -> (key, embedding)
+
+
+def build_dense_index(chunks: DataFrame) -> DenseIndex:
+    """The corpus' own TF-IDF projection: chunks are encoded with their context, further texts under the same vocabulary."""
+    c = F.col
+    body = X.embed_text(c("course_id"), c("chapter_num"), c("chapter_title"), c("section"), c("text"))
+    encoder = TextEncoder.fit(chunks.select("user_id", "chunk_id", body.alias("text")))
+    scope = chunks.select("user_id", "chunk_id", "course_id", "chapter_num")
+    vectors = project(encoder.corpus_weights(), ["user_id", "chunk_id"]).join(scope, ["user_id", "chunk_id"])
+    return DenseIndex(cut_lineage(vectors), lambda texts, key: project(encoder.weights(texts, key), key))
+
+
+def subquery_rows(questions: DataFrame, config: SearchConfig) -> DataFrame:
+    """A row for each sub-query of each question: user_id, q_id, sub_no, q, weight, and the question's scope.
+
+    A question that isn't compound, or all without decomposition, is its own only sub-query of weight 1.
+    """
+    scope = [c for c in ("want_course", "want_chapter") if c in questions.columns]
+    parsed = questions.withColumn("_d", X.decompose(F.col("q")))
+    whole = F.array(F.struct(F.col("q").alias("text"), F.lit(1.0).alias("weight"), F.lit("whole").alias("kind")))
+    subs = F.when(F.lit(config.decompose) & F.col("_d.is_compound"), F.col("_d.subqueries")).otherwise(whole)
+    rows = parsed.select("user_id", "q_id", *scope, F.posexplode(subs).alias("sub_no", "s"))
+    return rows.select("user_id", "q_id", "sub_no", *scope, F.col("s.text").alias("q"), "s.weight")
+
+
+def retrieval_lists(subs: DataFrame, index: SparseIndex, dense: DenseIndex | None, config: SearchConfig) -> DataFrame:
+    """(user_id, q_id, sub_no, weight, kind, chunk_id, rank): a sparse and a dense list for each sub-query, in its scope."""
+    key = ["user_id", "q_id", "sub_no"]
+    weights = subs.select(*key, "weight")
+    lists = []
+    if config.use_sparse:
+        lists.append(bm25_topk(subs, index, key, k=config.sparse_top_k).withColumn("kind", F.lit("sparse")))
+    if config.use_dense and dense is not None:
+        vectors = dense.encode(subs.select(*key, F.col("q").alias("text")), key)
+        asked = vectors.join(subs.drop("q", "weight"), key)
+        lists.append(dense_topk(asked, dense.vectors, config.dense_top_k, key).withColumn("kind", F.lit("dense")))
+    merged = lists[0] if len(lists) == 1 else lists[0].unionByName(lists[1])
+    return merged.join(weights, key).select(*key, "weight", "kind", "chunk_id", "rank")
+
+
+def scope_sizes(chunks: DataFrame) -> DataFrame:
+    """(s_user, s_course, s_chapter, n_chunks) of every scope that holds chunks; null where a scope has no such limit."""
+    sizes = chunks.cube("user_id", "course_id", "chapter_num").agg(F.count("*").alias("n_chunks")).where("user_id IS NOT NULL")
+    return sizes.selectExpr("user_id AS s_user", "course_id AS s_course", "chapter_num AS s_chapter", "n_chunks")
+
+
 def search_batch(
     questions: DataFrame,
     chunks: DataFrame,
     courses: DataFrame,
-    dense_lists: DataFrame | None = None,
+    parents: DataFrame | None = None,
+    dense: DenseIndex | None = None,
     config: SearchConfig | None = None,
     index: SparseIndex | None = None,
 ) -> tuple[DataFrame, DataFrame]:
-    """Search a table of questions (user_id, q_id, q, course_id): (ranked passages, verdicts).
+    """Search a table of questions (user_id, q_id, q, course_id[, chapter_num]): (ranked passages, verdicts).
 
-    Scoped questions keep only chunks of their course, decided before any top-k cut. `dense_lists`
-    holds (user_id, q_id, chunk_id, rank); sub-queries without a vector contribute sparse lists.
+    Every sub-query contributes a sparse list and, with a `dense` index, a dense list; both keep to the question's course
+    and chapter before any top-k cut, and are fused with the sub-query's weight. Passages carry the rank of their first
+    sparse and first dense list, the reranker's score and, with `parents`, the text of their parent. The reranker orders by
+    the whole question; confidence reads the concept alone where the question is compound, over the pool in mode `rank` and
+    over the returned head in mode `confidence`; without reranking it is 1.
+
+    Verdicts say whether a question is refused and why, the first that holds: nothing loaded in its scope, nothing
+    retrieved, a chapter beyond the corpus, an intent the corpus can't serve, a confidence below the threshold.
     """
     config = config or SearchConfig()
     index = index or build_index(chunks)
     key = ["user_id", "q_id"]
-    parsed = questions.select(*key, "course_id", "q", F.explode(F.array(X.decompose(F.col("q")))).alias("d"))
-    parsed = parsed.select(*key, "course_id", "q", "d.concept", "d.is_compound", "d.subqueries")
-    compound = F.lit(config.decompose) & F.col("is_compound")
-    whole = F.array(F.struct(F.col("q").alias("text"), F.lit(1.0).alias("weight"), F.lit("whole").alias("kind")))
-    subs = parsed.select(*key, "course_id", F.posexplode(F.when(compound, F.col("subqueries")).otherwise(whole)))
-    subs = subs.select(
-        *key, F.col("course_id").alias("want_course"), F.col("pos").alias("sub_no"), F.col("col.text").alias("q"), "col.weight"
-    )
-
-    lists = []
-    if config.use_sparse:
-        sub_key = [*key, "sub_no"]
-        ranked = bm25_topk(subs, index, sub_key, k=config.sparse_top_k)
-        weights = subs.select(*sub_key, "weight")
-        lists.append(ranked.join(weights, sub_key).select(*key, "chunk_id", "rank", "weight"))
-    if config.use_dense and dense_lists is not None:
-        lists.append(dense_lists.select(*key, "chunk_id", "rank", F.lit(1.0).alias("weight")))
-    merged = lists[0]
-    for other in lists[1:]:
-        merged = merged.unionByName(other)
-    fused = rrf(merged, key, config.rrf_k, config.fused_top_k)
-
-    facts = parsed.withColumn("compound", compound & (F.col("concept") != ""))
-    facts = facts.withColumn("about", F.when(compound, F.col("concept")).otherwise(F.col("q")))
-    scored = lexical_rerank(fused, questions, index, key)
+    if "chapter_num" not in questions.columns:
+        questions = questions.withColumn("chapter_num", F.lit(None).cast(chunks.schema["chapter_num"].dataType))
+    asked = questions.select(*key, "q", F.col("course_id").alias("want_course"), F.col("chapter_num").alias("want_chapter"))
+    lists = cut_lineage(retrieval_lists(subquery_rows(asked, config), index, dense, config))
+    fused = rrf(lists, key, config.rrf_k, config.fused_top_k)
+
+    facts = questions.select(*key, "q", X.decompose(F.col("q")).alias("_d"))
+    compound = F.lit(config.decompose) & F.col("_d.is_compound") & (F.col("_d.concept") != "")
+    about = F.when(F.lit(config.decompose) & (F.col("_d.concept") != ""), F.col("_d.concept")).otherwise(F.col("q"))
+    facts = facts.select(*key, "q", compound.alias("compound"), F.col("_d.concept").alias("concept"), about.alias("about"))
     titles = chunks.select("user_id", "chunk_id", "course_id", "chapter_num", "chapter_title")
-    scored = scored.join(titles, ["user_id", "chunk_id"]).join(facts.select(*key, "about"), key)
-    scored = scored.withColumn("title_sim", X.title_similarity(F.col("about"), F.col("chapter_title"))).drop("about")
-    passages = order_candidates(scored, key, config)
-
-    concepts = facts.where("compound").select(*key, F.col("concept").alias("q"))
-    by_concept = lexical_rerank(fused.join(concepts.select(*key), key, "left_semi"), concepts, index, key)
-    plain = scored.groupBy(*key).agg(F.max("rerank_score").alias("whole_confidence"))
-    narrowed = by_concept.groupBy(*key).agg(F.max("rerank_score").alias("concept_confidence"))
-    base = questions.join(plain, key, "left").join(narrowed, key, "left")
-    confidence = F.coalesce("concept_confidence", "whole_confidence", F.lit(0.0))
+    pool = fused.join(titles, ["user_id", "chunk_id"]).join(facts.select(*key, "about", "compound"), key)
+    pool = pool.withColumn("title_sim", X.title_similarity(F.col("about"), F.col("chapter_title"))).drop("about")
+    if config.use_rerank:
+        # both readings of a compound question are scored in one pass, told apart by their role
+        roles = facts.select(*key, F.lit(0).alias("role"), "q").unionByName(facts.where("compound").select(*key, F.lit(1).alias("role"), F.col("concept").alias("q")))
+        both = pool.join(roles.select(*key, "role"), key)
+        scored = cut_lineage(lexical_rerank(both, roles, index, [*key, "role"]))
+        pool = scored.where("role = 0").drop("role")
+        narrowed = scored.where("role = 1").groupBy(*key).agg(F.max("rerank_score").alias("concept_confidence"))
+    else:
+        pool = pool.withColumn("rerank_score", F.lit(None).cast("double"))
+    ranked = order_candidates(pool, key, config)
+
+    def first(kind: str) -> DataFrame:
+        mine = lists.where(F.col("kind") == kind).withColumnRenamed("sub_no", "list_no")
+        return first_positions(mine, key).withColumnRenamed("rank", f"{kind}_rank")
+
+    passages = ranked.join(first("sparse"), [*key, "chunk_id"], "left").join(first("dense"), [*key, "chunk_id"], "left")
+    if config.use_parent and parents is not None:
+        texts = chunks.select("user_id", "chunk_id", "parent_id").join(
+            parents.select("user_id", "parent_id", F.col("text").alias("parent_text")), ["user_id", "parent_id"]
+        )
+        passages = passages.join(texts.drop("parent_id"), ["user_id", "chunk_id"], "left")
+    passages = passages.drop("compound", "ranking")
+
+    base = questions.join(lists.select(*key).distinct().withColumn("found", F.lit(True)), key, "left")
     if not config.use_rerank:
-        confidence = F.when(F.col("whole_confidence").isNull(), 0.0).otherwise(1.0)
-    base = base.withColumn("confidence", confidence).drop("whole_confidence", "concept_confidence")
+        base = base.withColumn("confidence", F.when(F.col("found"), 1.0).otherwise(0.0))
+    elif config.rerank_mode == "rank":
+        plain = pool.groupBy(*key).agg(F.max("rerank_score").alias("whole_confidence"))
+        base = base.join(plain, key, "left").join(narrowed, key, "left")
+        base = base.withColumn("confidence", F.coalesce("concept_confidence", "whole_confidence", F.lit(0.0))).drop("whole_confidence", "concept_confidence")
+    else:
+        head = ranked.groupBy(*key).agg(F.max("rerank_score").alias("head_confidence"))
+        base = base.join(head, key, "left").withColumn("confidence", F.coalesce("head_confidence", F.lit(0.0))).drop("head_confidence")
+    sizes = scope_sizes(chunks)
+    scope = (F.col("user_id") == F.col("s_user")) & F.col("course_id").eqNullSafe(F.col("s_course")) & F.col("chapter_num").eqNullSafe(F.col("s_chapter"))
+    base = base.join(sizes, scope, "left").drop("s_user", "s_course", "s_chapter")
     verdicts = chapter_range_check(intent_gate(base, courses), chunks)
+    empty, lost = F.col("n_chunks").isNull(), F.col("found").isNull()
     beyond = F.col("beyond_chapter").isNotNull()
-    verdicts = verdicts.withColumn("gate_refused", F.col("gate_refused") | beyond)
-    verdicts = verdicts.withColumn("confidence", F.when(beyond, 0.0).otherwise(F.col("confidence")))
-    refused = F.col("gate_refused") | (F.col("confidence") < config.refusal_threshold)
-    verdicts = verdicts.withColumn("refused", refused)
-    return passages, verdicts.select(*key, "course_id", "intent", "beyond_chapter", "confidence", "gate_refused", "refused")
+    gate = ~empty & ~lost & (F.col("gate_refused") | beyond)
+    confidence = F.when(empty | lost | beyond, 0.0).otherwise(F.col("confidence"))
+    low = F.format_string(f"top passage scored %.2f, below the calibrated threshold of {config.refusal_threshold:.2f}", "confidence")
+    reason = (
+        F.when(empty, "no materials loaded")
+        .when(lost, "no candidates retrieved")
+        .when(beyond, F.format_string("chapter %d is beyond the last chapter, %d", "beyond_chapter", "highest"))
+        .when(F.col("gate_refused"), F.concat("intent", F.lit(": "), F.lower("phrase")))
+        .when(F.col("confidence") < config.refusal_threshold, low)
+        .otherwise("")
+    )
+    verdicts = verdicts.withColumn("reason", reason).withColumn("gate_refused", gate).withColumn("confidence", confidence)
+    verdicts = verdicts.withColumn("refused", F.col("reason") != "")
+    return passages, verdicts.select(*key, "course_id", "intent", "beyond_chapter", "confidence", "gate_refused", "refused", "reason")
 
 
 # --- evidence series ---------------------------------------------------------------------------------------

@@ -112,9 +112,22 @@ def bm25_topk(t):
     return sparse_lists(t).withColumn("rank", F.col("rank").cast("long"))
 
 
-@query("dense_topk", f"WITH {S.DENSE} SELECT user_id, q_id, chunk_id, rank, score FROM dense")
+def vector_lists_sql(limit: str = "") -> str:
+    return f"""SELECT user_id, q_id, chunk_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY user_id, q_id ORDER BY score DESC, chunk_id) - 1 AS rank
+      FROM (SELECT q.user_id, q.q_id, c.chunk_id, round(list_cosine_similarity(q.embedding::DOUBLE[], c.embedding::DOUBLE[]), 4) AS score
+            FROM vector_queries_v q JOIN chunk_vectors_v c USING (user_id) {limit})) WHERE rank < {V.DENSE_TOP_K}"""
+
+
+@query("dense_topk", vector_lists_sql())
 def dense_topk(t):
-    return dense_lists(t).withColumn("rank", F.col("rank").cast("long"))
+    asked = t("vector_queries_v").drop("want_course", "want_chapter")
+    return R.dense_topk(asked, t("chunk_vectors_v")).withColumn("rank", F.col("rank").cast("long"))
+
+
+@query("dense_scoped", vector_lists_sql("WHERE (want_course IS NULL OR want_course = c.course_id) AND (want_chapter IS NULL OR want_chapter = c.chapter_num)"))
+def dense_scoped(t):
+    """The same within a course, a chapter, or both, where the query asks for it."""
+    return R.dense_topk(t("vector_queries_v"), t("chunk_vectors_v")).withColumn("rank", F.col("rank").cast("long"))
 
 
 @query("l2_normalise", """
@@ -234,23 +247,24 @@ def decompose(t):
     return subqueries(t).select(*KEY, F.col("sub_no").cast("long").alias("sub_no"), "sub", "weight", "kind")
 
 
-@query("compound_search", f"""WITH {S.INDEX}, {DECOMPOSE},
-    used AS (SELECT s.user_id, s.q_id * 100 + s.sub_no AS sub_key, s.q_id, CASE WHEN n_subs > 1 AND NOT j.single THEN sub ELSE whole END AS q,
-                    CASE WHEN n_subs > 1 AND NOT j.single THEN weight ELSE 1.0 END AS weight
-             FROM subs s JOIN judged j USING (user_id, q_id)),
-    {S.bm25('used', 'sub_key')},
-    mix AS (SELECT s.user_id, u.q_id, s.chunk_id, round({S.exact_sum(f"u.weight / ({V.RRF_K} + s.rank + 1)")}, 8) AS rrf_score
-            FROM sparse s JOIN used u USING (user_id, sub_key) GROUP BY ALL)
-    SELECT * FROM (SELECT user_id, q_id, chunk_id, rrf_score, row_number() OVER (PARTITION BY user_id, q_id ORDER BY rrf_score DESC, chunk_id) - 1 AS fused_rank FROM mix)
-    WHERE fused_rank < 30""")
+def used_sql(course: str = "NULL::VARCHAR", chapter: str = "NULL::BIGINT") -> str:
+    """CTE used (user_id, q_id, sub_no, q, weight, want_course, want_chapter): the texts that are searched for each question."""
+    return f"""used AS (SELECT p.user_id, p.q_id, coalesce(s.sub_no, 0) AS sub_no, coalesce(s.sub, p.q) AS q, coalesce(s.weight, 1.0::DOUBLE) AS weight,
+        {course} AS want_course, {chapter} AS want_chapter
+      FROM searched_v p LEFT JOIN (SELECT s.* FROM subs s JOIN judged j USING (user_id, q_id) WHERE s.n_subs > 1 AND NOT j.single) s USING (user_id, q_id))"""
+
+
+MIXED = f"""mix AS (SELECT user_id, q_id, chunk_id, round({S.exact_sum(f"weight / ({V.RRF_K} + rank + 1)")}, 8) AS rrf_score
+    FROM (SELECT user_id, q_id, sub_no, chunk_id, rank FROM sparse UNION ALL SELECT user_id, q_id, sub_no, chunk_id, rank FROM dense) JOIN used USING (user_id, q_id, sub_no) GROUP BY ALL),
+fused AS (SELECT * FROM (SELECT user_id, q_id, chunk_id, rrf_score, row_number() OVER (PARTITION BY user_id, q_id ORDER BY rrf_score DESC, chunk_id) - 1 AS fused_rank FROM mix)
+    WHERE fused_rank < {V.FUSED_TOP_K})"""
+
+
+@query("compound_search", f"""WITH {S.INDEX}, {DECOMPOSE}, {used_sql()}, {S.bm25('used', 'q_id, sub_no')}, {S.encoded_lists()}, {MIXED} SELECT * FROM fused""")
 def compound_search(t):
-    """Sparse lists per sub-query, fused with the sub-queries' weights."""
-    parsed = t("phrased_v").withColumn("d", X.decompose(F.col("q")))
-    whole = F.array(F.struct(F.col("q").alias("text"), F.lit(1.0).alias("weight"), F.lit("whole").alias("kind")))
-    subs = parsed.select(*KEY, F.posexplode(F.when(F.col("d.is_compound"), F.col("d.subqueries")).otherwise(whole)))
-    subs = subs.select(*KEY, F.col("pos").alias("sub_no"), F.col("col.text").alias("q"), "col.weight")
-    key = [*KEY, "sub_no"]
-    lists = R.bm25_topk(subs, index_of(t), key).join(subs.select(*key, "weight"), key)
+    """Sparse and dense lists per sub-query, fused with the sub-queries' weights."""
+    subs = R.subquery_rows(t("searched_v"), R.SearchConfig())
+    lists = R.retrieval_lists(subs, index_of(t), R.build_dense_index(t("chunks_v")), R.SearchConfig())
     return R.rrf(lists, KEY).withColumn("fused_rank", F.col("fused_rank").cast("long"))
 
 
@@ -343,12 +357,7 @@ def chapter_titles(t):
     SELECT s.user_id, s.q_id, s.chunk_id, s.rank, md5(c.text) AS text_hash, md5(p.parent_text) AS parent_hash
     FROM sparse s JOIN chunks_v c USING (user_id, chunk_id) LEFT JOIN parents p ON p.user_id = c.user_id AND p.parent_id = c.ordinal // 12 WHERE rank < 6""")
 def hydrate_parents(t):
-    # a parent joins the chunks of twelve neighbouring documents that belong to the tenant
-    chunks = t("chunks_v").withColumn("parent_id", F.floor(F.col("ordinal") / 12))
-    ordered = F.array_sort(F.collect_list(F.struct("ordinal", "text")))
-    parents = chunks.groupBy("user_id", "parent_id").agg(
-        F.array_join(F.transform(ordered, lambda x: x["text"]), "\n\n").alias("text")
-    )
+    chunks, parents = parents_of(t)
     out = R.hydrate(sparse_lists(t).where("rank < 6"), chunks, parents)
     return out.select(
         *KEY, "chunk_id", F.col("rank").cast("long").alias("rank"), F.md5(F.col("text").cast("binary")).alias("text_hash"),
@@ -414,11 +423,56 @@ def chapter_range_check(t):
     return R.chapter_range_check(t("phrased_v"), t("chunks_v")).select(*KEY, "highest", "beyond_chapter")
 
 
-@query("search_batch")
+SEARCH = f"""{S.INDEX}, {DECOMPOSE}, {used_sql('p.course_id', 'p.chapter_num')}, {S.bm25('used', 'q_id, sub_no', scoped=True)}, {S.encoded_lists()}, {MIXED},
+concepts AS (SELECT user_id, q_id, concept AS q FROM judged JOIN (SELECT DISTINCT user_id, q_id, n_subs FROM subs) USING (user_id, q_id) WHERE n_subs > 1 AND NOT single AND concept <> ''),
+cfused AS (SELECT f.* FROM fused f JOIN concepts USING (user_id, q_id)),
+{rerank_sql('fused', 'searched_v', name='rr')}, {rerank_sql('cfused', 'concepts', name='rc')},
+abouts AS (SELECT p.user_id, p.q_id, {S.title_tokens("CASE WHEN j.whole <> '' AND j.concept <> '' THEN j.concept ELSE p.q END")} AS qt FROM searched_v p JOIN judged j USING (user_id, q_id)),
+heads AS (SELECT * FROM (SELECT f.user_id, f.q_id, f.chunk_id, r.rerank_score, row_number() OVER (PARTITION BY f.user_id, f.q_id
+      ORDER BY round(r.rerank_score + {V.TITLE_BOOST} * {S.set_similarity('qt', 'ct')}, 6) DESC, f.fused_rank) - 1 AS final_rank
+    FROM fused f JOIN rr r USING (user_id, q_id, chunk_id) JOIN abouts USING (user_id, q_id)
+    JOIN (SELECT user_id, chunk_id, {S.title_tokens('chapter_title')} AS ct FROM chunks_v) c USING (user_id, chunk_id)) WHERE final_rank < {V.FINAL_TOP_K}),
+first_sparse AS (SELECT user_id, q_id, chunk_id, arg_min(rank, sub_no) AS sparse_rank FROM sparse GROUP BY ALL),
+first_dense AS (SELECT user_id, q_id, chunk_id, arg_min(rank, sub_no) AS dense_rank FROM dense GROUP BY ALL),
+parents AS (SELECT user_id, ordinal // 12 AS parent_id, string_agg(text, chr(10) || chr(10) ORDER BY ordinal) AS parent_text FROM chunks_v GROUP BY ALL),
+shown AS (SELECT h.*, s.sparse_rank, d.dense_rank, md5(p.parent_text) AS parent_hash FROM heads h JOIN chunks_v c USING (user_id, chunk_id)
+    LEFT JOIN first_sparse s USING (user_id, q_id, chunk_id) LEFT JOIN first_dense d USING (user_id, q_id, chunk_id)
+    LEFT JOIN parents p ON p.user_id = c.user_id AND p.parent_id = c.ordinal // 12),
+{GATE}, {RANGE},
+conf AS (SELECT p.user_id, p.q_id, MAX(r.rerank_score) AS whole_confidence FROM searched_v p LEFT JOIN rr r USING (user_id, q_id) GROUP BY ALL),
+cconf AS (SELECT user_id, q_id, MAX(rerank_score) AS concept_confidence FROM rc GROUP BY ALL),
+facts AS (SELECT p.user_id, p.q_id, p.course_id, g.intent, i.phrase, g.gate_refused AS gated, r.beyond_chapter, r.highest,
+      coalesce(cc.concept_confidence, c.whole_confidence, 0.0) AS score,
+      NOT EXISTS (SELECT 1 FROM chunks_v k WHERE k.user_id = p.user_id AND (p.course_id IS NULL OR k.course_id = p.course_id)
+                  AND (p.chapter_num IS NULL OR k.chapter_num = p.chapter_num)) AS empty,
+      NOT EXISTS (SELECT 1 FROM mix m WHERE m.user_id = p.user_id AND m.q_id = p.q_id) AS lost
+    FROM searched_v p JOIN gated g USING (user_id, q_id) JOIN (SELECT user_id, q_id, {intent_sql('q')} FROM phrased_v) i USING (user_id, q_id)
+    JOIN ranged r USING (user_id, q_id) JOIN conf c USING (user_id, q_id) LEFT JOIN cconf cc USING (user_id, q_id)),
+verdicts AS (SELECT user_id, q_id, course_id, intent, beyond_chapter, CASE WHEN empty OR lost OR beyond_chapter IS NOT NULL THEN 0.0 ELSE score END AS confidence,
+      NOT empty AND NOT lost AND (gated OR beyond_chapter IS NOT NULL) AS gate_refused,
+      CASE WHEN empty THEN 'no materials loaded' WHEN lost THEN 'no candidates retrieved'
+           WHEN beyond_chapter IS NOT NULL THEN printf('chapter %d is beyond the last chapter, %d', beyond_chapter, highest)
+           WHEN gated THEN intent || ': ' || lower(phrase)
+           WHEN score < {V.REFUSAL_THRESHOLD} THEN printf('top passage scored %.2f, below the calibrated threshold of {V.REFUSAL_THRESHOLD:.2f}', score) ELSE '' END AS reason
+    FROM facts)"""
+
+
+def parents_of(t):
+    """Chunks with the key of their parent, and parents: the texts of twelve neighbouring documents of a tenant."""
+    chunks = t("chunks_v").withColumn("parent_id", F.floor(F.col("ordinal") / 12))
+    ordered = F.array_sort(F.collect_list(F.struct("ordinal", "text")))
+    return chunks, chunks.groupBy("user_id", "parent_id").agg(F.array_join(F.transform(ordered, lambda x: x["text"]), "\n\n").alias("text"))
+
+
+@query("search_batch", f"""WITH {SEARCH} SELECT v.*, v.reason <> '' AS refused, s.chunk_id, s.final_rank, s.rerank_score, s.sparse_rank, s.dense_rank, s.parent_hash
+    FROM verdicts v LEFT JOIN shown s USING (user_id, q_id)""")
 def search_batch(t):
-    """Full search of the phrased questions: ranked passages with the verdict on each question."""
-    passages, verdicts = R.search_batch(t("phrased_v"), t("chunks_v"), t("courses_v"), index=index_of(t, stored=True))
-    shown = passages.select(*KEY, "chunk_id", "final_rank", "rerank_score")
+    """Full search of the phrased questions, some within a chapter: ranked passages with the verdict on each question."""
+    chunks, parents = parents_of(t)
+    dense = R.build_dense_index(chunks)
+    passages, verdicts = R.search_batch(t("searched_v"), chunks, t("courses_v"), parents, dense, index=index_of(t))
+    ranks = [F.col(c).cast("long").alias(c) for c in ("final_rank", "sparse_rank", "dense_rank")]
+    shown = passages.select(*KEY, "chunk_id", *ranks, "rerank_score", F.md5(F.col("parent_text").cast("binary")).alias("parent_hash"))
     return verdicts.join(shown, KEY, "left")
 
 

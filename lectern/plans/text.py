@@ -177,37 +177,15 @@ def section_range(t):
 
 # --- features ---------------------------------------------------------------------------------
 
-_ACC = FE._accents()
-_WORDS_SQL = f"regexp_extract_all(translate(lower(text), '{_ACC[0]}', '{_ACC[1]}'), '{FE.WORD_PATTERN}')"
-
-
-def _weights_sql(kind: str, keep: str) -> str:
-    return f"""
-{kind}_stats AS (SELECT g.user_id, g.term, COUNT(*) AS df, SUM(tf) AS total, ANY_VALUE(n_docs) AS n_docs FROM {kind}_grams g JOIN sizes USING (user_id) GROUP BY g.user_id, g.term),
-{kind}_vocab AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY total DESC, term) AS place FROM {kind}_stats WHERE {keep}) {'' if kind == 'word' else f'WHERE place <= {FE.CHAR_FEATURES}'}),
-{kind}_raw AS (SELECT g.user_id, g.chunk_id, g.term, (1 + ln(g.tf)) * (ln((1 + v.n_docs) / (1 + v.df)) + 1) AS raw FROM {kind}_grams g JOIN {kind}_vocab v USING (user_id, term)),
-{kind}_w AS (SELECT r.user_id, r.chunk_id, '{kind}' AS kind, r.term, r.raw / n.norm AS weight FROM {kind}_raw r JOIN
-   (SELECT user_id, chunk_id, sqrt({S.exact_sum('raw * raw')}) AS norm FROM {kind}_raw GROUP BY ALL) n USING (user_id, chunk_id))"""
-
-
-@query("tfidf_weights", f"""WITH sizes AS (SELECT user_id, COUNT(*) AS n_docs FROM chunks_v WHERE trim(text) <> '' GROUP BY ALL),
-    ww AS (SELECT user_id, chunk_id, {_WORDS_SQL} AS w FROM chunks_v WHERE trim(text) <> ''),
-    word_grams AS (SELECT user_id, chunk_id, term, COUNT(*) AS tf FROM (SELECT user_id, chunk_id, UNNEST(w) AS term FROM ww
-        UNION ALL SELECT user_id, chunk_id, UNNEST(list_transform(list_zip(w[:-2], w[2:]), lambda z: z[1] || ' ' || z[2])) FROM ww WHERE len(w) > 1) GROUP BY ALL),
-    cw AS (SELECT user_id, chunk_id, ' ' || w || ' ' AS w, COUNT(*) AS n FROM (SELECT user_id, chunk_id, UNNEST(string_split_regex(lower(text), '\\s+')) AS w FROM chunks_v WHERE trim(text) <> '') WHERE w <> '' GROUP BY ALL),
-    cz AS (SELECT *, UNNEST(range(3, least(5, length(w)) + 1)) AS k FROM cw),
-    cp AS (SELECT *, UNNEST(range(1, length(w) - k + 2)) AS i FROM cz),
-    char_grams AS (SELECT user_id, chunk_id, substr(w, i, k) AS term, SUM(n) AS tf FROM cp GROUP BY ALL),
-    {_weights_sql('word', f'n_docs < 10 OR df <= {FE.MAX_SHARE} * n_docs')},
-    {_weights_sql('char', 'n_docs >= 2 AND (n_docs < 10 OR df >= 2)')}
-    SELECT user_id, chunk_id, kind, COUNT(*) AS n_terms, round({S.exact_sum('weight')}, 4) AS total, round(MAX(weight), 6) AS top FROM (SELECT * FROM word_w UNION ALL SELECT * FROM char_w) GROUP BY ALL""")
+@query("tfidf_weights", f"""WITH {S.grams('chunk', 'chunks_v', 'user_id, chunk_id')}, {S.vocabulary()}, {S.gram_weights('chunk', 'user_id, chunk_id')}
+    SELECT user_id, chunk_id, kind, COUNT(*) AS n_terms,
+           md5(string_agg(term || ':' || round(weight * 1000000)::BIGINT, ',' ORDER BY term)) AS weights_hash FROM chunk_w GROUP BY ALL""")
 def tfidf_weights(t):
-    """The weight vectors of all chunks, summed up per chunk and feature block."""
+    """The weight vectors of all chunks; every term and weight, to six digits, goes into the hash."""
     w = FE.tfidf_weights(t("chunks_v"))
-    total = F.aggregate("terms", F.lit(0.0), lambda s, x: s + x["weight"])
-    top = F.array_max(F.transform("terms", lambda x: x["weight"]))
+    each = F.transform(F.array_sort("terms"), lambda x: F.concat(x["term"], F.lit(":"), F.round(x["weight"] * 1000000).cast("long").cast("string")))
     return w.select(
-        "user_id", "chunk_id", "kind", F.size("terms").cast("long").alias("n_terms"), F.round(total, 4).alias("total"), F.round(top, 6).alias("top")
+        "user_id", "chunk_id", "kind", F.size("terms").cast("long").alias("n_terms"), F.md5(F.array_join(each, ",").cast("binary")).alias("weights_hash")
     )
 
 

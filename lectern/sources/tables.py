@@ -49,9 +49,18 @@ BINDINGS: dict[str, str] = {
                     WHEN q_id % 9 = 7 THEN 'What is ' || q || '? How does it play into the real world? Give me an example and explain it'
                     ELSE q END AS q
         FROM {asked_v}""",
+    # the same, some of them asked within a chapter
+    "searched_v": """
+        SELECT q_id, user_id, course_id, q, CASE WHEN q_id % 13 = 6 THEN q_id % 20 END AS chapter_num FROM {phrased_v}""",
     "chunk_vectors_v": """
         SELECT 'u' || (vec_id % 3) AS user_id, vec_id AS chunk_id, label AS course_id,
                vec_id % 20 AS chapter_num, embedding FROM {embeddings}""",
+    # every vector whose id is divisible by 20 asks all vectors of its tenant; some keep to a course or chapter
+    "vector_queries_v": """
+        SELECT 'u' || (vec_id % 3) AS user_id, vec_id AS q_id, embedding,
+               CASE WHEN vec_id % 40 = 0 THEN label END AS want_course,
+               CASE WHEN vec_id % 60 = 0 THEN vec_id % 7 END AS want_chapter
+        FROM {embeddings} WHERE vec_id % 20 = 0""",
     "query_vectors_v": """
         SELECT q.user_id, q.q_id, e.label AS course_id, q.q_id % 20 AS chapter_num, e.embedding
         FROM {questions_v} q JOIN {embeddings} e ON e.vec_id = q.q_id""",
