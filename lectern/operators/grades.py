@@ -220,8 +220,54 @@ def letter_grade(percents: DataFrame, scale: DataFrame, keys: Sequence[str]) ->
 # --- targets ----------------------------------------------------------------------------------------
 
 
-def _projected(c: Column, e: Column, r: Column, items: Column, bonus: Column) -> Column:
-    return course_result(fill_scores(c, items), e, r, bonus)["projected_percent"]
+def _breaks(components: Column, rules: Column) -> Column:
+    """0, 100 and every known score between them at which the open scores may change places with a known one.
+
+    Where no rule replaces scores, only components that drop some and are still open matter.
+    """
+
+    def known(c: Column) -> Column:
+        is_open = F.exists(c["items"], lambda i: i["score"].isNull())
+        matters = (F.size(rules) > 0) | ((c["drop_lowest"] + c["drop_highest"] > 0) & is_open)
+        scores = F.transform(F.filter(c["items"], lambda i: (i["score"] > 0) & (i["score"] < 100)), lambda i: i["score"].cast("double"))
+        return F.when(matters, scores).otherwise(F.array().cast("array<double>"))
+
+    inner = F.flatten(F.transform(components, known))
+    return F.array_sort(F.array_distinct(F.concat(F.array(F.lit(0.0)), inner, F.array(F.lit(100.0)))))
+
+
+_POINT = 9  # digits to which a projected percent counts
+
+
+def _curve(breaks: Column, projected) -> Column:
+    """The projection as array<struct<lo, at, mid, value, slope>>: its value at each break, and the line up to the next.
+
+    Between two breaks the order of all scores is fixed, so the same ones count and the projection is a straight line;
+    two points inside give it. At a break it may jump, where weighted scores change places.
+    """
+
+    def segment(lo: Column, i: Column) -> Column:
+        width = F.coalesce(F.try_element_at(breaks, i + 2) - lo, F.lit(0.0))
+        ends = F.struct((lo + width * 0.25).alias("a"), (lo + width * 0.75).alias("b"))
+
+        def line(e: Column) -> Column:
+            values = F.struct(projected(lo).alias("at"), projected(e["a"]).alias("ya"), projected(e["b"]).alias("yb"))
+            return let(
+                values,
+                lambda v: F.struct(
+                    lo.alias("lo"), F.round(v["at"], _POINT).alias("at"), e["a"].alias("mid"), v["ya"].alias("value"),
+                    F.when(width > 0, (v["yb"] - v["ya"]) / (width * 0.5)).otherwise(0.0).alias("slope"),
+                ),
+            )
+
+        return let(ends, line)
+
+    return F.transform(breaks, lambda lo, i: segment(lo, i))
+
+
+def _on_curve(curve: Column, x: Column) -> Column:
+    here = F.try_element_at(F.filter(curve, lambda c: c["lo"] <= x), F.lit(-1))
+    return let(here, lambda c: F.when(c["lo"] == x, c["at"]).otherwise(F.round(c["value"] + c["slope"] * (x - c["mid"]), _POINT)))
 
 
 def _bisect(reached, steps: int) -> Column:
@@ -230,57 +276,79 @@ def _bisect(reached, steps: int) -> Column:
     def step(s: Column, _: Column) -> Column:
         mid = (s["lo"] + s["hi"]) / 2
         return let(
-            reached(mid),
-            lambda ok: F.struct(F.when(ok, s["lo"]).otherwise(mid).alias("lo"), F.when(ok, mid).otherwise(s["hi"]).alias("hi")),
+            F.struct(mid.alias("mid"), F.coalesce(reached(mid), F.lit(False)).alias("ok")),
+            lambda m: F.struct(F.when(m["ok"], s["lo"]).otherwise(m["mid"]).alias("lo"), F.when(m["ok"], m["mid"]).otherwise(s["hi"]).alias("hi")),
         )
 
     start = F.struct(F.lit(0.0).alias("lo"), F.lit(100.0).alias("hi"))
     return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, step, lambda s: s["hi"])
 
 
-def solve_target(books: DataFrame, target: str = "target", steps: int = 50) -> DataFrame:
-    """Uniform score on the open items that reaches `target`, with status and bounds."""
-    c, e, r, goal = F.col("components"), F.col("extra"), F.col("rules"), F.col(target)
-    none = F.lit(None).cast("double")
+def target_facts(books: DataFrame) -> DataFrame:
+    """What every target of a book is decided by: open parts, current percent, the highest projection and its curve.
+
+    The curve runs over a uniform score of the open items, or of the open extra credit where no item is open. It is worked
+    out once for each book, whatever the number of targets.
+    """
+    c, e, r = F.col("components"), F.col("extra"), F.col("rules")
     open_items = F.aggregate(c, F.lit(0), lambda s, x: s + F.size(F.filter(x["items"], lambda i: i["score"].isNull())))
-    open_extra = F.size(F.filter(e, lambda x: x["score"].isNull()))
     weights = F.aggregate(c, F.lit(0.0), lambda s, x: s + x["weight"])
     facts = books.withColumns(
         {
             "open_items": open_items,
-            "open_extra": open_extra,
+            "open_extra": F.size(F.filter(e, lambda x: x["score"].isNull())),
             "broken": F.exists(e, lambda x: x["points"].isNull()) | (F.abs(weights - 1.0) > V.WEIGHT_TOLERANCE),
-            "current": course_result(c, e, r)["current_percent"],
-            "maximum": _projected(c, e, r, F.lit(100.0), F.lit(100.0)),
-            "minimum": _projected(c, e, r, F.lit(0.0), none),
+            "breaks": _breaks(c, r),
         }
     )
+
+    def projected(x: Column) -> Column:
+        return course_result(fill_scores(c, x), e, r, F.when(F.col("open_items") == 0, x))["projected_percent"]
+
+    return facts.withColumns(
+        {
+            "current": course_result(c, e, r)["current_percent"],
+            "maximum": course_result(fill_scores(c, F.lit(100.0)), e, r, F.lit(100.0))["projected_percent"],
+            "curve": F.when(~F.col("broken"), _curve(F.col("breaks"), projected)),
+        }
+    ).drop("breaks")
+
+
+def target_verdicts(facts: DataFrame, target: str = "target", steps: int = 50) -> DataFrame:
+    """Status, required score and bounds of each target from `target_facts`."""
+    goal, curve = F.col(target), F.col("curve")
     nothing_open = (F.col("open_items") == 0) & (F.col("open_extra") == 0)
+    minimum = F.try_element_at(curve, F.lit(1))["at"]
     status = (
         F.when(F.col("broken"), "incomplete_structure")
         .when(nothing_open & F.coalesce(F.col("current") >= goal, F.lit(False)), "achieved")
         .when(nothing_open, "impossible")
         .when(F.col("maximum") + 1e-8 < goal, "impossible")
-        .when(F.col("minimum") + 1e-8 >= goal, "guaranteed")
+        .when(minimum + 1e-8 >= goal, "guaranteed")
         .when(F.col("open_items") == 0, "extra_credit_only")
         .otherwise("achievable")
     )
-    facts = facts.withColumn("status", status)
-    by_items = _bisect(lambda x: F.coalesce(_projected(c, e, r, x, none) >= goal, F.lit(False)), steps)
-    by_extra = _bisect(lambda x: F.coalesce(_projected(c, e, r, F.lit(0.0), x) >= goal, F.lit(False)), steps)
-    required = (
-        F.when(F.col("status") == "guaranteed", 0.0)
-        .when(F.col("status") == "achievable", by_items)
-        .when(F.col("status") == "extra_credit_only", by_extra)
+    required = F.when(F.col("status") == "guaranteed", 0.0).when(
+        F.col("status").isin("achievable", "extra_credit_only"), _bisect(lambda x: _on_curve(curve, x) >= goal, steps)
     )
     bound = F.when(~F.col("broken"), F.when(nothing_open, F.col("current")).otherwise(F.col("maximum")))
-    return facts.withColumn("required", required).withColumn("maximum_possible", bound).drop("broken", "minimum", "maximum")
+    out = facts.withColumn("status", status).withColumn("required", required).withColumn("maximum_possible", bound)
+    return out.drop("broken", "maximum", "curve")
+
+
+def solve_target(books: DataFrame, target: str = "target", steps: int = 50) -> DataFrame:
+    """Uniform score on the open items that reaches `target`, with status and bounds.
+
+    The projection is a straight line between known scores, so halving runs on its curve and not on the book. Where
+    weighted scores are dropped it can fall when the score rises; then the crossing that halving meets is returned.
+    """
+    return target_verdicts(target_facts(books), target, steps)
 
 
 def grade_ladder(books: DataFrame) -> DataFrame:
-    """Requirement for every letter of the scale."""
-    rungs = books.withColumn("s", F.explode("scale")).withColumns({"letter": F.col("s.letter"), "target": F.col("s.minimum")})
-    return solve_target(rungs.drop("s"))
+    """Requirement for every letter of the scale, all from one curve."""
+    rungs = target_facts(books).withColumn("s", F.explode("scale")).withColumns({"letter": F.col("s.letter"), "target": F.col("s.minimum")})
+    return target_verdicts(rungs.drop("s"))
 
 
 def solve_item_target(books: DataFrame, steps: int = 60) -> DataFrame:
@@ -318,7 +386,10 @@ def solve_item_target(books: DataFrame, steps: int = 60) -> DataFrame:
     weights = F.aggregate(c, F.lit(0.0), lambda s, x: s + x["weight"])
     broken = F.exists(e, lambda x: x["points"].isNull()) | (F.abs(weights - 1.0) > V.WEIGHT_TOLERANCE)
     graded = F.coalesce(own["score"], bonus_own["score"]).isNotNull()
-    facts = books.withColumns({"maximum_possible": at(F.lit(100.0)), "minimum_possible": at(F.lit(0.0))})
+    facts = books.withColumn("breaks", _breaks(c, r))
+    facts = facts.withColumn("curve", F.when(~broken, _curve(F.col("breaks"), at)))
+    curve = F.col("curve")
+    facts = facts.withColumns({"maximum_possible": F.try_element_at(curve, F.lit(-1))["at"], "minimum_possible": F.try_element_at(curve, F.lit(1))["at"]})
     high, low = F.col("maximum_possible"), F.col("minimum_possible")
     status = (
         F.when(broken, "incomplete_structure")
@@ -330,15 +401,14 @@ def solve_item_target(books: DataFrame, steps: int = 60) -> DataFrame:
         .otherwise("achievable")
     )
     facts = facts.withColumn("status", status)
-    exact = _bisect(lambda x: F.coalesce(at(x), F.lit(0.0)) + 1e-10 >= goal, steps)
-    tenth = F.least(F.lit(100.0), F.ceil((exact - 1e-9) * 10) / 10)
+    exact = _bisect(lambda x: _on_curve(curve, x) + 1e-10 >= goal, steps)
     # scores are entered in tenths: take the next one where rounding fell short
     checked = let(
-        tenth.cast("double"),
-        lambda x: F.when(F.coalesce(at(x), F.lit(0.0)) + 1e-8 >= goal, x).otherwise(F.round(x + 0.1, 1)),
+        F.least(F.lit(100.0), F.ceil((exact - 1e-9) * 10) / 10).cast("double"),
+        lambda x: F.when(F.coalesce(_on_curve(curve, x), F.lit(0.0)) + 1e-8 >= goal, x).otherwise(F.round(x + 0.1, 1)),
     )
     required = F.when(F.col("status") == "guaranteed", 0.0).when(F.col("status") == "achievable", checked)
-    facts = facts.withColumn("required_score", required)
+    facts = facts.withColumn("required_score", required).drop("curve", "breaks")
     return facts.withColumn("status", F.when(F.col("required_score") > 100, "impossible").otherwise(F.col("status")))
 
 

@@ -300,3 +300,51 @@ def test_new_version_is_marked_complete_last(spark, tmp_path):
     folder = lifecycle.write_all(tables, str(tmp_path / "v2"))
     assert spark.read.parquet(f"{folder}/a").count() == 3 and spark.read.parquet(f"{folder}/b").count() == 2
     assert (tmp_path / "v2" / "_complete").exists()
+
+
+def test_short_questions_get_their_gold(spark):
+    from lectern.sources.gold import containing_chunks
+
+    texts = ["the red fox ran home", "scarred foxes", "Red", "", None, "a  b", "x", "fox red", "no match here at all for this one"]
+    asked = ["red", "red fox", "Red", "fo", "x", "", None, "  ", "zzz", "a  b", "ox r", "fox ran home", "red fox ran", "the red fox ran home", "redd", "ed f"]
+    chunks = spark.createDataFrame([(u, i, x) for u in ("u", "v") for i, x in enumerate(texts)], "user_id string, chunk_id long, text string")
+    questions = spark.createDataFrame([("u", i, x, "s") for i, x in enumerate(asked)], "user_id string, q_id long, q string, slice string")
+    got = sorted((r.user_id, r.q_id, r.chunk_id) for r in containing_chunks(questions, chunks).collect())
+    assert got == sorted(("u", i, j) for i, q in enumerate(asked) for j, x in enumerate(texts) if q is not None and x is not None and q in x)
+
+
+def test_targets_by_the_curve_equal_halving_on_the_book(spark):
+    """Random books with drops, weights, replacements and extra credit, against 50 halvings of the projection itself."""
+    import numpy as np
+
+    rng = np.random.default_rng(12)
+    components, items, extra, rules = [], [], [], []
+    for k in range(120):
+        kinds = [("A", "equal"), ("N", "weighted"), ("R", "equal")][: rng.integers(1, 4)]
+        for name, how in kinds:
+            n = int(rng.integers(1, 5)) if name != "R" else 1
+            components.append((k, name, 1.0 / len(kinds), how, int(n >= 3 and rng.random() < 0.6), int(n >= 4 and rng.random() < 0.5)))
+            shares = rng.dirichlet(np.ones(n)).round(3)
+            for i in range(n):
+                score = None if rng.random() < 0.45 else float(rng.integers(0, 101))
+                items.append((k, name, {"A": 0, "N": 10, "R": 20}[name] + i, float(shares[i]) if how == "weighted" else None, score))
+        if len(kinds) == 3:
+            rules.append((k, 20, "A", bool(rng.random() < 0.5)))
+        if rng.random() < 0.4:
+            extra.append((k, 99, 3.0, None if rng.random() < 0.6 else 50.0))
+    frame = lambda rows, schema: spark.createDataFrame(rows, "k int, " + schema)
+    books = grades.build_books(
+        frame(components, "component string, weight double, aggregation string, drop_lowest int, drop_highest int"),
+        frame(items, "component string, item long, share double, score double"),
+        frame(extra, "item long, points double, score double"), frame(rules, "source_item long, target string, if_higher boolean"), ["k"],
+    )
+    asked = books.withColumn("target", F.explode(F.array(*[F.lit(float(t)) for t in (35, 61, 78)])))
+    c, e, r = F.col("components"), F.col("extra"), F.col("rules")
+
+    def projected(x):
+        return grades.course_result(grades.fill_scores(c, x), e, r, F.when(F.col("open_items") == 0, x))["projected_percent"]
+
+    slow = grades._bisect(lambda x: F.round(projected(x), 9) >= F.col("target"), 50)
+    rows = grades.solve_target(asked).withColumn("slow", slow).where("status IN ('achievable', 'extra_credit_only')").collect()
+    assert len(rows) > 40
+    assert all(row.required == pytest.approx(row.slow, abs=1e-7) for row in rows)
