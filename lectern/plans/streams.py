@@ -1,20 +1,17 @@
 """Streaming queries: the stream runs over all available files and its result equals the batch SQL."""
 
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from lectern.plans.registry import query
 from lectern.session import work_folder
 from lectern.streaming import jobs as L
 
 
-def drain(t, stream, keys):
-    """Run a stream of changes to its end and read back the current values."""
+def drain(t, stream, job):
+    """Run a job's stream to its end and read its report."""
     folder = work_folder(t.spark, "stream")
-    L.write_changes(stream, f"{folder}/changes", f"{folder}/state").awaitTermination()
-    schema = T.StructType([*stream.schema.fields, T.StructField("epoch", T.IntegerType())])
-    values = L.current_values(t.spark, f"{folder}/changes", keys, schema)
-    return values.select(*stream.columns)
+    L.run_job(stream, job, f"{folder}/sums", f"{folder}/state").awaitTermination()
+    return L.report(stream, job, f"{folder}/sums")
 
 
 def events(t):
@@ -32,7 +29,7 @@ def stream_engagement(t):
         F.concat(F.lit("u"), (F.col("user_id") % 20).cast("string")).alias("user_id"), F.col("event_id").alias("question_id"),
         F.concat(F.lit("c"), (F.col("k") % 7).cast("string")).alias("chapter_ref"), F.expr(_KIND).alias("kind"), "ts",
     )
-    return drain(t, L.engagement_stream(e), ["user_id", "chapter_ref"])
+    return drain(t, e, L.engagement())
 
 
 @query("stream_job_progress", """SELECT user_id AS job_id, CAST(regexp_extract(props, '([0-9]+)', 1) AS BIGINT) % 10 AS file_id, arg_max(event_type, (ts, event_id)) AS stage, MAX(event_id % 100) AS pages_done, COUNT(*) AS n_patches FROM events GROUP BY ALL""")
@@ -41,7 +38,7 @@ def stream_job_progress(t):
         F.col("user_id").alias("job_id"), (F.col("k") % 10).alias("file_id"), F.col("event_type").alias("stage"),
         (F.col("event_id") % 100).alias("pages_done"), "ts", F.col("event_id").alias("seq"),
     )
-    return drain(t, L.job_progress_stream(patches), ["job_id", "file_id"])
+    return drain(t, patches, L.job_progress())
 
 
 @query("stream_ingest_dedupe", """WITH f AS (SELECT DISTINCT 'u' || (user_id % 20) AS user_id, event_type AS course_id, md5(props) AS file_hash FROM events),
@@ -55,10 +52,7 @@ def stream_ingest_dedupe(t):
     known = t("labels").select(
         F.concat(F.lit("u"), (F.col("doc_id") % 20).cast("string")).alias("user_id"), F.lit("click").alias("course_id"), F.md5(props.cast("binary")).alias("file_hash")
     )
-    folder = work_folder(t.spark, "stream")
-    stream = L.ingest_dedupe_stream(files, known)
-    L.write_appends(stream, f"{folder}/new", f"{folder}/state").awaitTermination()
-    return t.spark.read.schema(stream.schema).parquet(f"{folder}/new")
+    return drain(t, files, L.ingest_dedupe(known))
 
 
 def _runs(t):
@@ -77,12 +71,12 @@ def _spelled(df):
 
 @query("stream_run_windows", _WINDOW.format(start="date_trunc('day', ts)", width="1 DAY", source="events"))
 def stream_run_windows(t):
-    return _spelled(L.window_report(drain(t, L.run_windows_stream(_runs(t)), ["w"])))
+    return _spelled(drain(t, _runs(t), L.run_windows()))
 
 
 @query("stream_run_windows_sliding", _WINDOW.format(start="s", width="2 DAY", source="(SELECT *, date_trunc('day', ts) AS s FROM events UNION ALL SELECT *, date_trunc('day', ts) - INTERVAL 1 DAY FROM events)"))
 def stream_run_windows_sliding(t):
-    return _spelled(L.window_report(drain(t, L.run_windows_stream(_runs(t), "2 days", "1 day"), ["w"])))
+    return _spelled(drain(t, _runs(t), L.run_windows("2 days", "1 day")))
 
 
 @query("attempt_sessions", """WITH a AS (SELECT 'u' || user_id AS user_id, ts, event_type = 'purchase' AS correct FROM events WHERE event_type IN ('purchase', 'error')),
@@ -90,7 +84,7 @@ def stream_run_windows_sliding(t):
     s AS (SELECT *, SUM(starts) OVER (PARTITION BY user_id ORDER BY ts) AS no FROM g)
     SELECT user_id, strftime(MIN(ts), '%Y-%m-%d %H:%M:%S') AS start, strftime(MAX(ts) + INTERVAL 30 MINUTE, '%Y-%m-%d %H:%M:%S') AS "end", COUNT(*) AS n, COUNT(*) FILTER (correct) AS n_correct FROM s GROUP BY user_id, no""")
 def attempt_sessions(t):
-    attempts = t("events").where("event_type IN ('purchase', 'error')").select(
-        F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("user_id"), F.col("ts").cast("timestamp").alias("ts"), (F.col("event_type") == "purchase").alias("correct")
+    attempts = events(t).where("event_type IN ('purchase', 'error')").select(
+        F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("user_id"), "ts", (F.col("event_type") == "purchase").alias("correct")
     )
-    return _spelled(L.attempt_sessions(attempts))
+    return _spelled(drain(t, attempts, L.sessions()))
