@@ -285,7 +285,7 @@ def test_reduced_vectors_keep_cosines(spark):
     weights = {}
     for row in features.tfidf_weights(docs).collect():
         weights.setdefault(row.chunk_id, {}).update({(row.kind, t["term"]): t["weight"] for t in row.terms})
-    reduced = {r.chunk_id: np.array(r.embedding) for r in features.lsa_embed(docs, 2048).collect()}
+    reduced = {r.chunk_id: np.array(r.embedding) for r in features.project(features.tfidf_weights(docs), ["user_id", "chunk_id"], 2048).collect()}
 
     def cosine(a, b):
         dot = sum(w * b.get(t, 0.0) for t, w in a.items())

@@ -142,3 +142,38 @@ def test_confidence_reads_the_head_in_its_own_mode(spark, corpus):
     _, head = searched(spark, corpus, question, R.SearchConfig(rerank_mode="confidence"))
     _, none = searched(spark, corpus, question, R.SearchConfig(use_rerank=False))
     assert plain[0].confidence > head[0].confidence > 0 and none[0].confidence == 1.0
+
+
+def test_latent_vectors_agree_with_a_dense_decomposition(spark):
+    rng = np.random.default_rng(5)
+    topics = [[f"{t}word{i}" for i in range(30)] for t in ("alpha", "beta", "gamma", "delta")]
+    texts = [" ".join(rng.choice(topics[i % 4], 25)) for i in range(80)]
+    docs = spark.createDataFrame([("u", i, x) for i, x in enumerate(texts)] + [("one", 0, "single text here"), ("w", 0, "")], "user_id string, chunk_id long, text string")
+    fitted = features.LatentEncoder.fit(docs, 6, 4096)
+    weights: dict = {}
+    for r in fitted.encoder.corpus_weights().where("user_id = 'u'").collect():
+        weights.setdefault(r.chunk_id, {}).update({(r.kind, t["term"]): t["weight"] for t in r.terms})
+    terms = {t: n for n, t in enumerate(sorted({t for w in weights.values() for t in w}))}
+    matrix = np.zeros((80, len(terms)))
+    for i, w in weights.items():
+        for t, value in w.items():
+            matrix[i, terms[t]] = value
+    left, singular, _ = np.linalg.svd(matrix, full_matrices=False)
+    want = left[:, :6] * singular[:6]
+    want /= np.linalg.norm(want, axis=1, keepdims=True)
+    vectors = {(r.user_id, r.chunk_id): np.array(r.embedding) for r in fitted.corpus_vectors().collect()}
+    got = np.stack([vectors["u", i] for i in range(80)])
+    basis = {r.user_id: r for r in fitted.basis.collect()}
+    assert got.shape == (80, 6) and basis["u"]["rank"] == 6 and basis["one"]["rank"] == 0 and ("w", 0) not in vectors
+    np.testing.assert_allclose(basis["u"]["values"][:4], singular[:4], rtol=0.05)
+    # the four topics: the leading four directions span the same subspace
+    ours = np.linalg.qr(got * 1.0)[0]
+    overlap = np.linalg.svd(ours.T @ left[:, :4])[1]
+    assert overlap.min() > 0.95
+    assert np.abs(got @ got.T - want @ want.T).max() < 0.35 and np.abs(got @ got.T - want @ want.T).mean() < 0.05
+    # further texts land beside those of their topic, and a text of the corpus on itself
+    asked = spark.createDataFrame([("u", 1, texts[1]), ("u", 2, " ".join(topics[2][:5])), ("one", 3, "single text here")], "user_id string, q_id long, text string")
+    found = {(r.user_id, r.q_id): np.array(r.embedding) for r in fitted.encode(asked, ["user_id", "q_id"]).collect()}
+    assert found["u", 1] @ got[1] == pytest.approx(1) and int((got @ found["u", 2]).argmax()) % 4 == 2
+    assert found["one", 3] @ vectors["one", 0] == pytest.approx(1)
+    assert fitted.encode(asked.limit(0), ["user_id", "q_id"]).count() == 0
