@@ -164,18 +164,6 @@ def delete_cascade(tables: Mapping[str, DataFrame], requests: DataFrame) -> dict
     return {name: without_rows(df, name, doomed) for name, df in tables.items()}
 
 
-def write_all(tables: Mapping[str, DataFrame], folder: str) -> str:
-    """Write the tables of a deletion as one new version; the version file is written last.
-
-    A reader takes the latest version that has the file, so a job that dies half-way changes nothing.
-    """
-    spark = next(iter(tables.values())).sparkSession
-    for name, df in tables.items():
-        df.write.mode("overwrite").parquet(f"{folder}/{name}")
-    spark.range(1).write.mode("overwrite").parquet(f"{folder}/_complete")
-    return folder
-
-
 # --- audits -----------------------------------------------------------------------------------------
 
 

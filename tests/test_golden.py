@@ -295,13 +295,6 @@ def test_reduced_vectors_keep_cosines(spark):
         assert float(reduced[i] @ reduced[j]) == pytest.approx(cosine(weights[i], weights[j]), abs=0.12)
 
 
-def test_new_version_is_marked_complete_last(spark, tmp_path):
-    tables = {"a": spark.range(3), "b": spark.range(2)}
-    folder = lifecycle.write_all(tables, str(tmp_path / "v2"))
-    assert spark.read.parquet(f"{folder}/a").count() == 3 and spark.read.parquet(f"{folder}/b").count() == 2
-    assert (tmp_path / "v2" / "_complete").exists()
-
-
 def test_short_questions_get_their_gold(spark):
     from lectern.sources.gold import containing_chunks
 
