@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions import fixed_values as V
 from lectern.functions.common import top_rows
+from lectern.session import ship_package
 
 #: Numbers in a block of vectors, and queries in a pack.
 BLOCK_FLOATS, PACK_ROWS = 8192, 64
@@ -168,6 +169,7 @@ def dense_topk(queries: DataFrame, vectors: DataFrame, k: int = V.DENSE_TOP_K, k
     so one joined row is a block product; blocks that can't reach a query's running top-k are skipped. Only the best rows
     of each task are shuffled. Null and empty vectors take no part, zero queries find nothing.
     """
+    ship_package(queries.sparkSession)
     key = key or ["user_id", "q_id"]
     pairs = in_scope(query_packs(queries, key), vector_blocks(vectors))
     kinds = {f.name: f.dataType.simpleString() for f in queries.schema}
