@@ -26,8 +26,9 @@ MOST_FREQUENT = 1 << 20
 LOCAL_COUNT = 2
 #: Minima under so many permutations name the star that a document joins first.
 STARS = 4
-#: Share of the union from which a comparison with a star's centre makes it a pivot.
-NEAR = 0.6
+#: Share of the union from which a comparison with a star's centre makes it a pivot. Of a group of near copies, those
+#: with a pivot of their own would meet all others by prefixes, so even far ones shall keep the group's pivot.
+NEAR = 0.3
 #: Width of a bin of set sizes, as a factor.
 SIZE_STEP = 1.02
 #: Bits of the filter that spares documents outside all candidates (a proven bound: half a megabyte).
