@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -517,6 +517,47 @@ def search_batch(
     return passages, verdicts.select(*key, "course_id", "intent", "beyond_chapter", "confidence", "gate_refused", "refused", "reason")
 
 
+def ablation_ladder(
+    questions: DataFrame, chunks: DataFrame, index: SparseIndex, dense: DenseIndex, ladder: list[tuple[str, SearchConfig]] = LADDER
+) -> DataFrame:
+    """(config, user_id, q_id, chunk_id, rank, parent_id) of every rung of `ladder` for questions (user_id, q_id, q).
+
+    The configuration is a column: lists of a question as a whole and, where it is compound, of its sub-queries are searched
+    once, each list goes to the rungs that read it, and each candidate is reranked once. Depths are those of the first rung.
+    `parent_id` is the parent that a rung shows, null in rungs without parents and where `chunks` know none; it moves no rank.
+    """
+    key, c = ["user_id", "q_id"], F.col
+    depths = replace(ladder[0][1], use_sparse=True, use_dense=True)
+    parsed = cut_lineage(questions.select(*key, "q", X.decompose(c("q")).alias("_d")))
+    plain = parsed.select(*key, F.lit(-1).alias("sub_no"), "q", F.lit(1.0).alias("weight"), F.lit(True).alias("as_whole"), (~c("_d.is_compound")).alias("in_parts"))
+    parts = parsed.where("_d.is_compound").select(*key, F.posexplode("_d.subqueries").alias("sub_no", "s"))
+    parts = parts.select(*key, "sub_no", c("s.text").alias("q"), "s.weight", F.lit(False).alias("as_whole"), F.lit(True).alias("in_parts"))
+    subs = cut_lineage(plain.unionByName(parts))
+    lists = retrieval_lists(subs.drop("as_whole", "in_parts"), index, dense, depths)
+    lists = lists.join(subs.select(*key, "sub_no", "as_whole", "in_parts"), [*key, "sub_no"])
+
+    fields = ["use_dense", "use_sparse", "use_rerank", "use_parent", "decompose", "rerank_mode", "title_boost"]
+    rungs = F.array(*[F.struct(F.lit(name).alias("config"), *[F.lit(getattr(r, f)).alias(f) for f in fields]) for name, r in ladder])
+    reads = ((c("kind") == "dense") & c("r.use_dense") | (c("kind") == "sparse") & c("r.use_sparse")) & F.when(c("r.decompose"), c("in_parts")).otherwise(c("as_whole"))
+    read = lists.withColumn("r", F.explode(rungs)).where(reads).select(c("r.config").alias("config"), *key, "chunk_id", "rank", "weight")
+    fused = cut_lineage(rrf(read, ["config", *key], depths.rrf_k, depths.fused_top_k))
+
+    candidates = fused.select(*key, "chunk_id").distinct()
+    about = F.when(c("_d.concept") != "", c("_d.concept")).otherwise(c("q"))
+    titles = chunks.select("user_id", "chunk_id", "chapter_title", c("parent_id") if "parent_id" in chunks.columns else F.lit(None).cast("string").alias("parent_id"))
+    facts = lexical_rerank(candidates, parsed.select(*key, "q"), index, key).join(parsed, key).join(titles, ["user_id", "chunk_id"])
+    likeness = {"whole_sim": X.title_similarity(c("q"), c("chapter_title")), "concept_sim": X.title_similarity(about, c("chapter_title"))}
+    facts = facts.withColumns(likeness).select(*key, "chunk_id", "rerank_score", "whole_sim", "concept_sim", "parent_id")
+
+    stage = F.filter(rungs, lambda r: r["config"] == c("config"))[0]
+    pool = fused.withColumn("r", stage).join(facts, [*key, "chunk_id"])
+    score = F.when(c("r.use_rerank") & (c("r.rerank_mode") == "rank"), c("rerank_score")).otherwise(c("rrf_score"))
+    boost = c("r.title_boost") * F.when(c("r.decompose"), c("concept_sim")).otherwise(c("whole_sim"))
+    pool = pool.withColumn("ranking", F.round(score + boost, 6)).withColumn("parent_id", F.when(c("r.use_parent"), c("parent_id")))
+    ranked = top_rows(pool, ["config", *key], [F.desc("ranking"), F.asc("fused_rank")], depths.fused_top_k, "final_rank")
+    return ranked.select("config", *key, "chunk_id", c("final_rank").alias("rank"), "parent_id")
+
+
 # --- evidence series ---------------------------------------------------------------------------------------
 
 

@@ -99,48 +99,48 @@ def first_gold_rank(t):
     return out.withColumn("first_rank", F.col("first_rank").cast("long"))
 
 
-RUNGS = [
-    ("dense only", "SELECT 'dense only' AS config, user_id, q_id, chunk_id, rank FROM dense"),
-    ("sparse only (BM25)", "SELECT 'sparse only (BM25)', user_id, q_id, chunk_id, rank FROM sparse"),
-    ("+ BM25 (RRF)", "SELECT '+ BM25 (RRF)', user_id, q_id, chunk_id, fused_rank FROM fused"),
-    ("+ rerank (reorder)", "SELECT '+ rerank (reorder)', user_id, q_id, chunk_id, row_number() OVER (PARTITION BY user_id, q_id ORDER BY round(rerank_score, 6) DESC, fused_rank) - 1 FROM title_sim"),
-    ("+ rerank (confidence)", "SELECT '+ rerank (confidence)', user_id, q_id, chunk_id, row_number() OVER (PARTITION BY user_id, q_id ORDER BY round(rrf_score, 6) DESC, fused_rank) - 1 FROM title_sim"),
-    ("+ title-boost 0.30", f"SELECT '+ title-boost 0.30', user_id, q_id, chunk_id, row_number() OVER (PARTITION BY user_id, q_id ORDER BY round(rerank_score + {V.TITLE_BOOST} * sim, 6) DESC, fused_rank) - 1 FROM title_sim"),
-]
-
-
-@query("ablation", f"""WITH {PR.FUSED}, {PR.rerank_sql('fused')}, {PR.TITLE}, {S.GOLD},
-    rungs AS ({' UNION ALL '.join(sql for _, sql in RUNGS)}),
+# the questions, two thirds of them with the framing of a compound question around the text
+POSED = """posed_v AS (SELECT user_id, q_id, slice, CASE WHEN q_id % 3 = 0 THEN q WHEN q_id % 3 = 1 THEN concat(q, '? Give me an example')
+      ELSE concat(q, '? How does it play into the real world?') END AS q FROM questions_v)"""
+
+
+def ladder_sql() -> str:
+    """CTEs up to rungs (config, user_id, q_id, chunk_id, rank): every configuration over sparse and dense lists of the posed questions.
+
+    Whole questions are searched under sub_no -1, parsed ones under the numbers of their sub-queries.
+    """
+    flags = ", ".join(
+        f"({S.literal(name)}, {r.use_dense}, {r.use_sparse}, {r.decompose}, {r.use_rerank and r.rerank_mode == 'rank'}, {r.title_boost}::DOUBLE)" for name, r in R.LADDER
+    )
+    return f"""{POSED}, {S.INDEX}, {PR.DECOMPOSE.replace('phrased_v', 'posed_v')},
+parts AS (SELECT s.* FROM subs s JOIN judged j USING (user_id, q_id) WHERE s.n_subs > 1 AND NOT j.single),
+used AS (SELECT user_id, q_id, -1 AS sub_no, q, 1.0::DOUBLE AS weight, NULL::VARCHAR AS want_course, NULL::BIGINT AS want_chapter FROM posed_v
+  UNION ALL SELECT p.user_id, p.q_id, coalesce(s.sub_no, 0), coalesce(s.sub, p.q), coalesce(s.weight, 1.0::DOUBLE), NULL, NULL FROM posed_v p LEFT JOIN parts s USING (user_id, q_id)),
+{S.bm25('used', 'q_id, sub_no')}, {S.encoded_lists()},
+configs(config, use_dense, use_sparse, decompose, reorder, boost) AS (VALUES {flags}),
+lists AS (SELECT user_id, q_id, sub_no, chunk_id, rank, 'sparse' AS kind FROM sparse UNION ALL SELECT user_id, q_id, sub_no, chunk_id, rank, 'dense' FROM dense),
+mix AS (SELECT config, user_id, q_id, chunk_id, round({S.exact_sum(f"weight / ({V.RRF_K} + rank + 1)")}, 8) AS rrf_score
+  FROM lists JOIN used USING (user_id, q_id, sub_no) JOIN configs ON decompose = (sub_no >= 0) AND CASE kind WHEN 'dense' THEN use_dense ELSE use_sparse END GROUP BY ALL),
+fused AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY config, user_id, q_id ORDER BY rrf_score DESC, chunk_id) - 1 AS fused_rank FROM mix) WHERE fused_rank < {V.FUSED_TOP_K}),
+cand AS (SELECT DISTINCT user_id, q_id, chunk_id FROM fused), {PR.rerank_sql('cand', 'posed_v')},
+titled AS (SELECT f.*, c.reorder, c.boost, r.rerank_score, {S.title_tokens("CASE WHEN c.decompose AND j.concept <> '' THEN j.concept ELSE p.q END")} AS qt, {S.title_tokens('k.chapter_title')} AS ct
+  FROM fused f JOIN configs c USING (config) JOIN reranked r USING (user_id, q_id, chunk_id) JOIN posed_v p USING (user_id, q_id)
+  JOIN judged j USING (user_id, q_id) JOIN chunks_v k USING (user_id, chunk_id)),
+rungs AS (SELECT config, user_id, q_id, chunk_id, row_number() OVER (PARTITION BY config, user_id, q_id
+    ORDER BY round(CASE WHEN reorder THEN rerank_score ELSE rrf_score END + boost * {S.set_similarity('qt', 'ct')}, 6) DESC, fused_rank) - 1 AS rank FROM titled)"""
+
+
+@query("ablation", f"""WITH {ladder_sql()}, {S.GOLD},
     {metrics_sql('rungs', 'config')},
-    metrics AS (SELECT c.config, s.slice, {METRIC_COLUMNS} FROM metrics_size s, (SELECT DISTINCT config FROM rungs) c
+    metrics AS (SELECT c.config, s.slice, {METRIC_COLUMNS} FROM metrics_size s, configs c
                 LEFT JOIN metrics_hit h ON h.user_id = s.user_id AND h.q_id = s.q_id AND h.config = c.config)
     SELECT config, coalesce(slice, 'all') AS slice, COUNT(*) AS n, {MEANS} FROM metrics GROUP BY GROUPING SETS ((config, slice), (config))""")
 def ablation(t):
-    """Metrics of every rung that needs no question parsing, the configuration as a dimension."""
-    from lectern.session import cut_lineage
-
-    index = PR.index_of(t, stored=True)
-    lists = cut_lineage(PR.both_lists(t, index))
-    asked = t("questions_v").select(*KEY, X.title_tokens(F.col("q")).alias("qt"))
-    fused = R.rrf(lists, KEY)
-    titles = t("chunks_v").select("user_id", "chunk_id", X.title_tokens(F.col("chapter_title")).alias("ct"))
-    pool = R.lexical_rerank(fused, t("questions_v"), index, KEY).join(asked, KEY).join(titles, ["user_id", "chunk_id"])
-    pool = cut_lineage(pool.withColumn("title_sim", X.set_similarity(F.col("qt"), F.col("ct"))).drop("qt", "ct"))
-    rows = [lists.where("list_no = 1").select(F.lit("dense only").alias("config"), *KEY, "chunk_id", "rank")]
-    rows.append(lists.where("list_no = 0").select(F.lit("sparse only (BM25)").alias("config"), *KEY, "chunk_id", "rank"))
-    rows.append(pool.select(F.lit("+ BM25 (RRF)").alias("config"), *KEY, "chunk_id", F.col("fused_rank").alias("rank")))
-    deep = V.FUSED_TOP_K
-    for name, config in (
-        ("+ rerank (reorder)", R.SearchConfig(title_boost=0.0, final_top_k=deep)),
-        ("+ rerank (confidence)", R.SearchConfig(title_boost=0.0, rerank_mode="confidence", final_top_k=deep)),
-        ("+ title-boost 0.30", R.SearchConfig(final_top_k=deep)),
-    ):
-        ordered = R.order_candidates(pool, KEY, config)
-        rows.append(ordered.select(F.lit(name).alias("config"), *KEY, "chunk_id", F.col("final_rank").alias("rank")))
-    ranked = rows[0]
-    for more in rows[1:]:
-        ranked = ranked.unionByName(more)
-    configs = F.explode(F.array(*[F.lit(name) for name, _ in RUNGS])).alias("config")
+    """Metrics of all eight rungs of the ladder, the configuration as a dimension."""
+    frame = F.when(F.col("q_id") % 3 == 0, "").when(F.col("q_id") % 3 == 1, "? Give me an example").otherwise("? How does it play into the real world?")
+    posed = t("questions_v").withColumn("q", F.concat("q", frame))
+    ranked = R.ablation_ladder(posed, t("chunks_v"), PR.index_of(t, stored=True), R.build_dense_index(t("chunks_v")))
+    configs = F.explode(F.array(*[F.lit(name) for name, _ in R.LADDER])).alias("config")
     gold = PR.gold_of(t).select(configs, "*")
     return E.ir_metrics_rollup(E.ir_metrics(ranked, gold, ["config", *KEY]), "config", "slice")
 

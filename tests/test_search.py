@@ -1,5 +1,7 @@
 """Scoped dense search, features and hybrid search against brute force."""
 
+from dataclasses import replace
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -177,3 +179,20 @@ def test_latent_vectors_agree_with_a_dense_decomposition(spark):
     assert found["u", 1] @ got[1] == pytest.approx(1) and int((got @ found["u", 2]).argmax()) % 4 == 2
     assert found["one", 3] @ vectors["one", 0] == pytest.approx(1)
     assert fitted.encode(asked.limit(0), ["user_id", "q_id"]).count() == 0
+
+
+def test_rungs_of_the_ladder_equal_searches_of_their_own(spark, corpus):
+    questions = [
+        ("budget constraint prices", None, None), ("What is the budget constraint? Give me an example", None, None),
+        ("How do demand curves slope? How does it play into the real world?", None, None), ("mitosis phases and light", None, None), ("zebra", None, None), ("", None, None),
+    ]
+    asked = spark.createDataFrame([("u", i, q[0]) for i, q in enumerate(questions)], "user_id string, q_id long, q string")
+    got: dict = {}
+    for r in R.ablation_ladder(asked, corpus, R.build_index(corpus), R.build_dense_index(corpus)).orderBy("rank").collect():
+        got.setdefault(r.config, {}).setdefault(r.q_id, []).append(r)
+    assert set(got) == {name for name, _ in R.LADDER}
+    for name, config in R.LADDER:
+        assert all((r.parent_id is not None) == config.use_parent for rows in got[name].values() for r in rows)
+    for name, config in [R.LADDER[i] for i in (0, 4, 6, 7)]:
+        want, _ = searched(spark, corpus, questions, replace(config, final_top_k=config.fused_top_k))
+        assert {q: [r.chunk_id for r in rows] for q, rows in got[name].items()} == {q: [r.chunk_id for r in rows] for q, rows in want.items()}, name
