@@ -38,8 +38,9 @@ def gold_interval_join(spans: DataFrame, chunks: DataFrame) -> DataFrame:
 
 
 def gold_validate(questions: DataFrame, spans: DataFrame, resolved: DataFrame) -> DataFrame:
-    """Label problems as rows (user_id, q_id, problem)."""
+    """Label problems as rows (user_id, q_id, problem). A span without a source states no gold."""
     key = ["user_id", "q_id"]
+    spans = spans.where("source_id IS NOT NULL")
     duplicate = questions.groupBy(*key).count().where("count > 1").select(*key, F.lit("duplicate id").alias("problem"))
     inside = questions.where("in_corpus").select(*key).distinct()
     without = inside.join(spans.select(*key), key, "left_anti").withColumn("problem", F.lit("in corpus without gold"))

@@ -341,3 +341,11 @@ def test_targets_by_the_curve_equal_halving_on_the_book(spark):
     rows = grades.solve_target(asked).withColumn("slow", slow).where("status IN ('achievable', 'extra_credit_only')").collect()
     assert len(rows) > 40
     assert all(row.required == pytest.approx(row.slow, abs=1e-7) for row in rows)
+
+
+def test_label_rows_without_a_source_state_no_gold(spark):
+    questions = spark.createDataFrame([("u", 1, True), ("u", 2, True), ("u", 3, False)], "user_id string, q_id long, in_corpus boolean")
+    spans = spark.createDataFrame([("u", 1, "s", 1, 2), ("u", 2, None, 1, 2), ("u", 3, None, 1, 2)], "user_id string, q_id long, source_id string, page_lo long, page_hi long")
+    chunks = spark.createDataFrame([("u", "t", 7, 1, 2)], "user_id string, source_id string, chunk_id long, page_start long, page_end long")
+    found = evaluation.gold_validate(questions, spans, evaluation.gold_interval_join(spans, chunks))
+    assert {tuple(r) for r in found.collect()} == {("u", 2, "in corpus without gold"), ("u", 1, "gold span matches nothing")}
