@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from lectern.functions import fixed_values as V
-from lectern.functions.common import matches
+from lectern.functions.common import any_case, matches
 
 
 def _date(year: Column, month: Column, day: Column) -> Column:
@@ -19,14 +19,14 @@ def parse_date(text: Column, default_year: Column) -> Column:
     text = F.coalesce(text, F.lit(""))
 
     def number(pattern: str, group: int) -> Column:
-        return F.regexp_extract(text, "(?i)" + pattern, group).try_cast("int")
+        return F.regexp_extract(text, any_case(pattern), group).try_cast("int")
 
     iso = _date(*[number(V.ISO_DATE, i) for i in (1, 2, 3)])
     year = F.coalesce(number(V.US_DATE, 3), default_year)
     year = F.when(year < 100, year + 2000).otherwise(year)
     us = _date(year, number(V.US_DATE, 1), number(V.US_DATE, 2))
     months = F.create_map(*[F.lit(x) for i, name in enumerate(V.MONTHS, 1) for x in (name, i)])
-    name = F.substring(F.lower(F.regexp_extract(text, "(?i)" + V.MONTH_DAY, 1)), 1, 3)
+    name = F.substring(F.lower(F.regexp_extract(text, any_case(V.MONTH_DAY), 1)), 1, 3)
     named = _date(default_year, F.try_element_at(months, name), number(V.MONTH_DAY, 2))
     return (
         F.when(matches(text, V.ISO_DATE), iso)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lectern.functions import fixed_values as V
 from lectern.functions import pages as P
 from lectern.functions import text as X
-from lectern.functions.common import matches, ratio, top_rows
+from lectern.functions.common import any_case, ascii_edges, matches, ratio, top_rows
 from lectern.operators.scans import fill_forward, running_sum
 
 # --- files -------------------------------------------------------------------------------
@@ -142,7 +142,7 @@ def segment_markers(docs: DataFrame, keys: Sequence[str]) -> DataFrame:
     page = ~chapter & ~section & matches(line, V.MARKER_PAGE)
 
     def part(pattern: str, group: int) -> Column:
-        return F.regexp_extract(line, "(?i)" + pattern, group)
+        return F.regexp_extract(line, any_case(pattern), group)
 
     order = Window.partitionBy(*keys).orderBy("line_no")
     marker = chapter | section | page
@@ -183,7 +183,7 @@ def segment_headings(pages: DataFrame, source_keys: Sequence[str], page: str = "
     short = (F.length(line) < V.HEADING_MAX_LINE) & (line != "")
 
     def part(pattern: str, group: int) -> Column:
-        return F.regexp_extract(line, "(?i)" + pattern, group)
+        return F.regexp_extract(line, any_case(pattern), group)
 
     arabic = short & matches(line, V.HEADING_CHAPTER)
     arabic_ok = arabic & P.plausible_heading(part(V.HEADING_CHAPTER, 2))
@@ -229,8 +229,8 @@ def outline_asof(pages: DataFrame, outline: DataFrame, keys: Sequence[str], page
     several entries of a kind share a page the last one (entry_no) holds.
     """
     title = F.coalesce("title", F.lit(""))
-    chapter_part = F.regexp_extract(title, "(?i)" + V.OUTLINE_CHAPTER, 1)
-    rest = P.strip(F.regexp_extract(title, "(?i)" + V.OUTLINE_CHAPTER, 2))
+    chapter_part = F.regexp_extract(title, any_case(V.OUTLINE_CHAPTER), 1)
+    rest = P.strip(F.regexp_extract(title, any_case(V.OUTLINE_CHAPTER), 2))
     number = F.when(chapter_part.rlike(r"^\d+$"), F.col("raw").try_cast("int")).otherwise(P.roman_to_int(F.col("raw")))
     entries = outline.where("page >= 1").withColumn("raw", chapter_part)
     is_label = matches(title, V.OUTLINE_PAGE_LABEL)
@@ -238,7 +238,7 @@ def outline_asof(pages: DataFrame, outline: DataFrame, keys: Sequence[str], page
     is_section = ~is_label & ~is_chapter & (F.col("level") >= 2)
     entries = entries.select(
         *keys, "page", "entry_no",
-        F.when(is_label, F.regexp_extract(title, "(?i)" + V.OUTLINE_PAGE_LABEL, 1).cast("int")).alias("label"),
+        F.when(is_label, F.regexp_extract(title, any_case(V.OUTLINE_PAGE_LABEL), 1).cast("int")).alias("label"),
         F.when(is_chapter & (F.coalesce(number, F.lit(0)) != 0), F.struct("page", number.alias("num"), F.when(rest != "", rest).otherwise(P.strip(title)).alias("title"))).alias("chapter"),
         F.when(is_section, F.struct("page", P.strip(title).alias("title"))).alias("section"),
     )
@@ -274,12 +274,12 @@ def paginate_words(paragraphs: DataFrame, keys: Sequence[str], order: Sequence[s
     named = matches(line, V.HEADING_CHAPTER)
     chapter = F.contains("style", F.lit("heading 1")) | named
     section = ~chapter & (F.contains("style", F.lit("heading 2")) | matches(line, V.HEADING_SECTION))
-    rest = P.strip(F.regexp_extract(line, "(?i)" + V.HEADING_CHAPTER, 2))
+    rest = P.strip(F.regexp_extract(line, any_case(V.HEADING_CHAPTER), 2))
     rows = rows.withColumns(
         {
             "is_body": ~(chapter | section),
             "n_words": F.when(chapter | section, 0).otherwise(F.size(X.words(line))),
-            "chapter_num": F.when(chapter & named, F.regexp_extract(line, "(?i)" + V.HEADING_CHAPTER, 1).cast("int")),
+            "chapter_num": F.when(chapter & named, F.regexp_extract(line, any_case(V.HEADING_CHAPTER), 1).cast("int")),
             "chapter_title": F.when(chapter & named, F.when(rest != "", rest)).when(chapter, line),
             "section": F.when(chapter, "").when(section, line),
         }
@@ -354,7 +354,7 @@ def systematic_sample(chunks: DataFrame, rows_per_block: int = 4096) -> DataFram
 def _marker_count(text: Column, markers: Sequence[str]) -> Column:
     total = F.lit(0)
     for marker in markers:
-        pattern = marker if " " in marker else rf"\b{marker}\b"
+        pattern = marker if " " in marker else ascii_edges(rf"\b{marker}\b")
         total = total + F.regexp_count(text, F.lit(pattern))
     return total
 

@@ -11,7 +11,7 @@ from lectern.functions import dates as D
 from lectern.functions import fixed_values as V
 from lectern.functions import pages as P
 from lectern.functions import text as X
-from lectern.functions.common import exact_avg, first_row, let, matches, top_rows
+from lectern.functions.common import any_case, ascii_edges, exact_avg, first_row, let, matches, top_rows
 
 CHAPTERS_PER_PACK = 64
 
@@ -40,12 +40,12 @@ def schedule_lines(syllabi: DataFrame, keys: Sequence[str], default_year: int) -
     """
     text, year = F.col("text"), F.lit(default_year)
     prefixes = sorted({name[:3] for name in V.WEEKDAY_INDEX})
-    named = F.split(F.regexp_extract(text, "(?i)" + V.MEETS_LINE, 1), "[,/ ]+")
+    named = F.split(F.regexp_extract(text, any_case(V.MEETS_LINE), 1), "[,/ ]+")
     days = F.slice(F.filter(named, lambda d: F.substring(F.lower(d), 1, 3).isin(prefixes)), 1, 4)
     headed = syllabi.select(
         *keys, "text",
-        D.parse_date(F.regexp_extract(text, "(?i)" + V.TERM_START_LINE, 1), year).alias("term_start"),
-        D.parse_date(F.regexp_extract(text, "(?i)" + V.TERM_END_LINE, 1), year).alias("term_end"),
+        D.parse_date(F.regexp_extract(text, any_case(V.TERM_START_LINE), 1), year).alias("term_start"),
+        D.parse_date(F.regexp_extract(text, any_case(V.TERM_END_LINE), 1), year).alias("term_end"),
         days.alias("meeting_days"),
         F.trim(F.regexp_extract(P.strip(text), "(?m)" + V.COURSE_CODE_LINE, 1)).alias("code"),
     )
@@ -53,7 +53,7 @@ def schedule_lines(syllabi: DataFrame, keys: Sequence[str], default_year: int) -
         *keys, "term_start", "term_end", "meeting_days", "code", F.posexplode(F.split("text", "\n")).alias("line_no", "raw")
     ).withColumn("line", P.strip(F.col("raw"))).where(F.length("line") >= 6)
     line = F.col("line")
-    week = F.regexp_extract(line, "(?i)" + V.WEEK_REF, 1).try_cast("int")
+    week = F.regexp_extract(line, any_case(V.WEEK_REF), 1).try_cast("int")
     by_week = F.try_element_at(D.expand_week(week, F.col("term_start"), F.col("meeting_days")), F.lit(1))
     stated = D.parse_date(line, F.coalesce(F.year("term_start"), year))
     when = F.coalesce(stated, F.when(F.col("term_start").isNotNull() & week.isNotNull(), by_week))
@@ -367,8 +367,8 @@ def syllabus_candidates(files: DataFrame) -> DataFrame:
     calculus = F.contains(F.lower("course_title"), F.lit("calculus")) | subject.startswith("CALC")
     computing = F.contains(F.lower("course_title"), F.lit("computer science"))
     upper = F.upper(F.substring("clean", 1, 6000))
-    subjects = F.regexp_extract_all(upper, F.lit(V.SYLLABUS_CODE), F.lit(1))
-    numbers = F.regexp_extract_all(upper, F.lit(V.SYLLABUS_CODE), F.lit(2))
+    subjects = F.regexp_extract_all(upper, F.lit(ascii_edges(V.SYLLABUS_CODE)), F.lit(1))
+    numbers = F.regexp_extract_all(upper, F.lit(ascii_edges(V.SYLLABUS_CODE)), F.lit(2))
     found = usable.withColumns({"subject": subject, "number": number, "codes": F.arrays_zip(subjects.alias("s"), numbers.alias("n"))})
     maths = ["MATH", "MAT", "CALC"]
 

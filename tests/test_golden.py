@@ -46,6 +46,12 @@ def test_decompose(spark):
     assert not single["is_compound"] and len(single["subqueries"]) == 1
 
 
+def test_words_end_where_ascii_letters_end(spark):
+    """As in the SQL counterparts, whatever the Java version: an accented letter is no word character."""
+    assert values(spark, ["êch48 and ch. 14"], X.chapter_mentions(F.col("x"))) == [[48, 14]]
+    assert values(spark, ["Anêque"], X.clean_clause(F.col("x"))) == ["êque"]
+
+
 def test_block_kinds(spark):
     got = values(spark, ["Definition 3.1 A set", "| a | b |\n| 1 | 2 |", "y = ax^2 + b", "Plain words here."], P.block_kind(F.col("x")))
     assert got == ["definition", "table", "equation", "prose"]
