@@ -52,6 +52,11 @@ def test_words_end_where_ascii_letters_end(spark):
     assert values(spark, ["Anêque"], X.clean_clause(F.col("x"))) == ["êque"]
 
 
+def test_clauses_begin_at_whole_words(spark):
+    whole, split = values(spark, ["taxes in, whater, subsidies", "taxes, what subsidies"], X.decompose(F.col("x")))
+    assert len(whole["subqueries"]) == 1 and [s["text"] for s in split["subqueries"]] == ["taxes", "subsidies"]
+
+
 def test_block_kinds(spark):
     got = values(spark, ["Definition 3.1 A set", "| a | b |\n| 1 | 2 |", "y = ax^2 + b", "Plain words here."], P.block_kind(F.col("x")))
     assert got == ["definition", "table", "equation", "prose"]
