@@ -57,6 +57,13 @@ def test_clauses_begin_at_whole_words(spark):
     assert len(whole["subqueries"]) == 1 and [s["text"] for s in split["subqueries"]] == ["taxes", "subsidies"]
 
 
+def test_series_keep_to_their_units(spark):
+    rows = [("S", f"{1994 + m // 12}-{m % 12 + 1:02d}-01", u, v + m) for m in range(14) for u, v in (("Percent", 1.0), ("Index", 100.0))]
+    out = retrieval.series_transform(spark.createDataFrame(rows, "series_id string, month string, units string, value double"))
+    got = {r["month"]: r["shown"] for r in out.where("units = 'Index'").collect()}
+    assert got["1994-12-01"] is None and got["1995-01-01"] == pytest.approx(12.0) and got["1995-02-01"] == pytest.approx(100 * (113 / 101 - 1))
+
+
 def test_block_kinds(spark):
     got = values(spark, ["Definition 3.1 A set", "| a | b |\n| 1 | 2 |", "y = ax^2 + b", "Plain words here."], P.block_kind(F.col("x")))
     assert got == ["definition", "table", "equation", "prose"]
