@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lectern.functions import dates as D
 from lectern.functions import pages as P
 from lectern.functions import text as X
-from lectern.operators import answers, chunking, evaluation, grades, lifecycle, practice, retrieval, schedule
+from lectern.operators import answers, chunking, evaluation, grades, lifecycle, practice, retrieval, schedule, syllabus
 
 
 def values(spark, rows, expression, names=("x",)):
@@ -57,6 +57,15 @@ def test_clauses_begin_at_whole_words(spark):
     assert len(whole["subqueries"]) == 1 and [s["text"] for s in split["subqueries"]] == ["taxes", "subsidies"]
 
 
+def test_link_reads_a_number_after_an_accent(spark):
+    chapters = [("u", "c", "s", 7, "Markets"), ("u", "c", "s", 14, "Markets")]
+    chapters = spark.createDataFrame(chapters, "user_id string, course_id string, source_id string, chapter_num int, title string")
+    rows = spark.createDataFrame([("u", 1, "c", "markets êch14")], "user_id string, row_id int, course_id string, query string")
+    no_vector = F.lit(None).cast("array<double>").alias("embedding")
+    (link,) = syllabus.chapter_link(rows.select("*", no_vector), chapters.select("*", no_vector), ["user_id", "row_id"]).collect()
+    assert link["chapter_ref"] == "c:s:14" and link["method"] == "semantic+number"
+
+
 def test_series_keep_to_their_units(spark):
     rows = [("S", f"{1994 + m // 12}-{m % 12 + 1:02d}-01", u, v + m) for m in range(14) for u, v in (("Percent", 1.0), ("Index", 100.0))]
     out = retrieval.series_transform(spark.createDataFrame(rows, "series_id string, month string, units string, value double"))
