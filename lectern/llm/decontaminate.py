@@ -26,6 +26,8 @@ BLOCK = 8
 INDEX_ITEMS = 20_000
 #: Cells of the (passage, block) and (passage, item) tables that a task holds at once.
 CELLS = 2_000_000
+#: Bytes of text that a task searches at once: a word takes some 300 bytes of arrays, and every core has a task.
+SLICE = 1 << 19
 SENTENCE = re.compile(r"(?<=[.?!])\s+|\n+")
 
 
@@ -278,7 +280,7 @@ def search_documents(docs: DataFrame, index: Index, threshold: float) -> DataFra
     schema = "_doc long, item_id long, score double, question_overlap double, answer_overlap double, position long"
 
     def rows(batches):
-        for batch in pieces(batches, "_text"):
+        for batch in pieces(batches, "_text", SLICE):
             out = list(verified(held.value, batch.column("_text"), threshold))
             if out:
                 columns = list(zip(*out))
@@ -305,9 +307,13 @@ def without_hits(docs: DataFrame, text: str, index: Index, threshold: float) ->
     held = docs.sparkSession.sparkContext.broadcast(index)
 
     def rows(batches):
-        for batch in pieces(batches, text):
-            clean = np.ones(batch.num_rows, bool)
-            clean[[hit[0] for hit in verified(held.value, batch.column(text), threshold)]] = False
-            yield batch.filter(pa.array(clean))
+        yield from clean_rows(batches, text, held.value, threshold)
 
     return docs.mapInArrow(rows, docs.schema)
+
+
+def clean_rows(batches, text: str, index: Index, threshold: float):
+    for batch in pieces(batches, text, SLICE):
+        clean = np.ones(batch.num_rows, bool)
+        clean[[hit[0] for hit in verified(index, batch.column(text), threshold)]] = False
+        yield batch.filter(pa.array(clean))

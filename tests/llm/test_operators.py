@@ -2,11 +2,14 @@
 
 import importlib.util
 import os
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from lectern.llm import decontaminate
 from lectern.llm import queries as llm
 from lectern.llm.decontaminate import contaminated, drop_contaminated
 from lectern.llm.embeddings import dedup_embeddings
@@ -227,3 +230,20 @@ def test_url_rules_and_edges(spark):
 def test_query_equals_sql(spark, folder, name):
     verdict = check.compare(llm.QUERIES[name](spark, folder), check.connect(folder), llm.ORACLES[name])
     assert verdict.startswith("ok") and "types" not in verdict, verdict
+
+
+def test_decontamination_memory_does_not_follow_the_batch(spark):
+    random = np.random.default_rng(1)
+    said = [" ".join(f"w{w}" for w in random.integers(0, 5000, 20)) for _ in range(200)]
+    items = spark.createDataFrame(list(enumerate(said)), "item_id long, text string")
+    (index,) = decontaminate.indexes(items, decontaminate.THRESHOLD)
+    texts = [" ".join(f"w{w}" for w in random.integers(0, 5000, 500)) for _ in range(2000)]
+    texts[7] += " " + said[3]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], ["text"])
+    tracemalloc.start()
+    try:
+        kept = sum(b.num_rows for b in decontaminate.clean_rows([batch], "text", index, decontaminate.THRESHOLD))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert kept == 1999 and peak < 50e6
