@@ -5,6 +5,7 @@ from datetime import date
 import pytest
 from pyspark.sql import functions as F
 
+from lectern import session
 from lectern.functions import dates as D
 from lectern.functions import pages as P
 from lectern.functions import text as X
@@ -376,3 +377,10 @@ def test_label_rows_without_a_source_state_no_gold(spark):
     chunks = spark.createDataFrame([("u", "t", 7, 1, 2)], "user_id string, source_id string, chunk_id long, page_start long, page_end long")
     found = evaluation.gold_validate(questions, spans, evaluation.gold_interval_join(spans, chunks))
     assert {tuple(r) for r in found.collect()} == {("u", 2, "in corpus without gold"), ("u", 1, "gold span matches nothing")}
+
+
+def test_intermediate_tables_are_columnar_files(spark):
+    rows = spark.range(1000).selectExpr("id", "array(struct('term' AS term, id % 3 AS tf)) AS grams", "CAST(NULL AS STRING) AS none")
+    kept = session.cut_lineage(rows)
+    assert kept.inputFiles() and all(f.endswith(".parquet") for f in kept.inputFiles())
+    assert sorted(kept.collect()) == sorted(rows.collect())
