@@ -196,3 +196,34 @@ def test_rungs_of_the_ladder_equal_searches_of_their_own(spark, corpus):
     for name, config in [R.LADDER[i] for i in (0, 4, 6, 7)]:
         want, _ = searched(spark, corpus, questions, replace(config, final_top_k=config.fused_top_k))
         assert {q: [r.chunk_id for r in rows] for q, rows in got[name].items()} == {q: [r.chunk_id for r in rows] for q, rows in want.items()}, name
+
+
+def test_bm25_lists_equal_sums_over_all_postings_and_never_meet_them_as_rows(spark, monkeypatch):
+    from pyspark.sql import Window
+
+    from lectern.operators import sparse
+
+    monkeypatch.setattr(sparse, "BLOCK_CHUNKS", 7)
+    monkeypatch.setattr(sparse, "DENSE_TERMS", 3)
+    monkeypatch.setattr(sparse, "STEP_POSTINGS", 5)
+    rng = np.random.default_rng(11)
+    words = ["the", "common", "prices-rose", "v1.2", *[f"w{i}ies" for i in range(40)]]
+    texts = [" ".join(rng.choice(words, rng.integers(0, 30), p=(w := np.arange(len(words), 0, -1) ** 2.0) / w.sum())) for _ in range(120)] + [None, ""]
+    rows = [(f"u{i % 2}", i, ["a", "b", None][i % 3], "s", i % 4, "T", "", i, i, x) for i, x in enumerate([*texts, *texts[:9]])]
+    chunks = spark.createDataFrame(rows, CHUNKS)
+    asked = [(f"u{i % 3}", i, [None, "a", "x"][i % 3], [None, 2][i % 2], " ".join(rng.choice(words, 9))) for i in range(40)] + [("u0", 99, None, None, None)]
+    questions = spark.createDataFrame(asked, "user_id string, q_id long, want_course string, want_chapter int, q string")
+    key, c, index = ["user_id", "q_id"], F.col, R.build_index(chunks)
+    post = R.postings(R.index_tokens(chunks))
+    assert {(r.user_id, r.token): r.df for r in post.groupBy("user_id", "token").agg(F.count("*").alias("df")).collect()} == {(r.user_id, r.token): r.df for r in index.idf.collect()}
+    terms = R.query_terms(questions, [*key, "want_course", "want_chapter"]).join(index.idf, ["user_id", "token"])
+    hits = terms.join(post, ["user_id", "token"]).where("(want_course IS NULL OR want_course = course_id) AND (want_chapter IS NULL OR want_chapter = chapter_num)")
+    gain = c("n") * c("idf") * (c("tf") * 2.5) / (c("tf") + 1.5 * (0.25 + 0.75 * c("dl") / c("avgdl")))
+    scores = hits.groupBy(*key, "chunk_id").agg(F.sum(gain.cast("decimal(38,12)")).cast("double").alias("raw")).where("raw > 0")
+    best = scores.select(*key, "chunk_id", F.round("raw", 4).alias("score")).withColumn("rank", F.row_number().over(Window.partitionBy(*key).orderBy(F.desc("score"), "chunk_id")) - 1)
+    want = sorted(tuple(r) for r in best.where("rank < 6").collect())
+    found = R.bm25_topk(questions, index, key, k=6)
+    assert sorted(tuple(r) for r in found.select(*key, "chunk_id", "score", "rank").collect()) == want and len(want) > 50
+    # a common term used to make a row of each question and each chunk that holds it
+    assert "tf" not in found._jdf.queryExecution().analyzed().toString().replace("tfs", "")
+    assert R.bm25_topk(questions.limit(0), index, key).count() == 0 and R.bm25_topk(questions, R.build_index(chunks.limit(0)), key).count() == 0
