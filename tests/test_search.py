@@ -227,3 +227,16 @@ def test_bm25_lists_equal_sums_over_all_postings_and_never_meet_them_as_rows(spa
     # a common term used to make a row of each question and each chunk that holds it
     assert "tf" not in found._jdf.queryExecution().analyzed().toString().replace("tfs", "")
     assert R.bm25_topk(questions.limit(0), index, key).count() == 0 and R.bm25_topk(questions, R.build_index(chunks.limit(0)), key).count() == 0
+
+
+def test_projection_of_lists_equals_that_of_weights_in_one_shuffle_less(spark):
+    docs = spark.createDataFrame([("u", i, x) for i, x in enumerate(["one budget line", "demand curves slope", "one demand line", ""])] + [("v", 9, "alone")], "user_id string, chunk_id long, text string")
+    fitted, key = features.TextEncoder.fit(docs), ["user_id", "chunk_id"]
+    want = {(r.user_id, r.chunk_id): r.embedding for r in features.project(fitted.corpus_weights(), key, 64).collect()}
+    found = fitted.corpus_vectors(64)
+    got = {(r.user_id, r.chunk_id): r.embedding for r in found.collect()}
+    assert got.keys() == want.keys() and len(got) == 4
+    for name, vector in got.items():
+        np.testing.assert_allclose(vector, want[name], atol=1e-12)
+    aggregates = [x._jdf.queryExecution().optimizedPlan().toString().count("Aggregate") for x in (found, features.project(fitted.corpus_weights(), key, 64))]
+    assert aggregates == [1, 2]
