@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lectern.functions import fixed_values as V
 from lectern.functions import pages as P
 from lectern.functions import text as X
-from lectern.functions.common import first_row, matches, ratio, top_rows
+from lectern.functions.common import first_row, matches, ratio, sql_round, top_rows
 from lectern.operators.scans import running_sum
 
 # --- queues and tests -----------------------------------------------------------------------
@@ -207,7 +207,7 @@ def practice_link(problems: DataFrame, chapters: DataFrame, floor: float = V.PRA
     left = asked.withColumn("word", F.explode(specific(F.array_distinct("q_all")))).drop("q_all")
     right = titled.withColumn("word", F.explode(specific(F.array_distinct("t_all")))).drop("t_all")
     pairs = left.join(right, ["user_id", "course_id", "word"]).drop("word").dropDuplicates([*key, "source_id", "chapter_num"])
-    scored = pairs.withColumn("score", F.round(X.set_similarity(F.col("q_words"), F.col("t_words")), 6)).where(F.col("score") >= floor)
+    scored = pairs.withColumn("score", sql_round(X.set_similarity(F.col("q_words"), F.col("t_words")), 6)).where(F.col("score") >= floor)
     best = first_row(scored, key, [F.desc("score"), F.asc("source_id"), F.asc("chapter_num")])
     ref = F.concat_ws(":", "course_id", "source_id", F.col("chapter_num").cast("string"))
     return problems.select(*key).join(best.select(*key, ref.alias("chapter_ref"), "score"), key, "left")

@@ -11,7 +11,7 @@ from lectern.functions import dates as D
 from lectern.functions import fixed_values as V
 from lectern.functions import pages as P
 from lectern.functions import text as X
-from lectern.functions.common import any_case, ascii_edges, exact_avg, first_row, let, matches, top_rows
+from lectern.functions.common import any_case, ascii_edges, exact_avg, first_row, let, matches, sql_round, top_rows
 
 CHAPTERS_PER_PACK = 64
 
@@ -185,7 +185,7 @@ def chapter_link(rows: DataFrame, chapters: DataFrame, keys: Sequence[str], floo
         meaning = F.greatest(title, V.LINK_EMBEDDING_WEIGHT * F.coalesce(cosine, F.lit(0.0)))
         bonus = F.when(F.array_contains("stated", c["chapter_num"].cast("int")), V.LINK_NUMBER_BONUS).otherwise(0.0)
         return F.struct(
-            (-F.round(meaning + bonus, 6)).alias("neg"), c["place"].alias("place"), c["source_id"].alias("source_id"),
+            (-sql_round(meaning + bonus, 6)).alias("neg"), c["place"].alias("place"), c["source_id"].alias("source_id"),
             c["chapter_num"].alias("chapter_num"), c["title"].alias("title"), (bonus > 0).alias("agrees"),
         )
 

@@ -67,6 +67,18 @@ def test_link_reads_a_number_after_an_accent(spark):
     assert link["chapter_ref"] == "c:s:14" and link["method"] == "semantic+number"
 
 
+def test_link_scores_round_as_in_the_sql(spark):
+    """0.2534375 as a decimal is halfway, but 253437.49999999997 once scaled: 3 of 10 and of 57 words, and a stated number."""
+    shared = "kalo3 kalo4 kalo5"
+    title = " ".join([shared, *[f"tamo{i}x" for i in range(54)]])
+    query = " ".join([shared, *[f"rilu{i}x" for i in range(7)], "(ch. 7)"])
+    chapters = spark.createDataFrame([("u", "c", "s", 7, title)], "user_id string, course_id string, source_id string, chapter_num int, title string")
+    rows = spark.createDataFrame([("u", 1, "c", query)], "user_id string, row_id int, course_id string, query string")
+    no_vector = F.lit(None).cast("array<double>").alias("embedding")
+    (link,) = syllabus.chapter_link(rows.select("*", no_vector), chapters.select("*", no_vector), ["user_id", "row_id"]).collect()
+    assert link["score"] == 0.253437
+
+
 def test_series_keep_to_their_units(spark):
     rows = [("S", f"{1994 + m // 12}-{m % 12 + 1:02d}-01", u, v + m) for m in range(14) for u, v in (("Percent", 1.0), ("Index", 100.0))]
     out = retrieval.series_transform(spark.createDataFrame(rows, "series_id string, month string, units string, value double"))
