@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -90,13 +91,34 @@ def count_grams(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(rows, "gram long, c long").groupBy("gram").agg(F.sum("c").alias("c"))
 
 
+def filter_bits(places: DataFrame) -> np.ndarray:
+    """FILTER_BITS bits, packed, of which those at the places p are set; tasks fold places into words of 64 bits."""
+    word = F.shiftright("p", 6).alias("w")
+    words = places.groupBy(word).agg(F.bit_or(F.expr("shiftleft(1L, p & 63)")).alias("set"))
+    bits = np.zeros(FILTER_BITS >> 6, np.int64)
+    for at, values in packed_columns(words, ["w", "set"]):
+        bits[at] = values
+    return np.packbits(np.unpackbits(bits.view(np.uint8), bitorder="little"))
+
+
+def packed_columns(rows: DataFrame, columns: list[str]) -> Iterator[tuple[np.ndarray, ...]]:
+    """Columns of 64 bits as arrays, a batch at a time: they pass the driver as bytes, not as rows."""
+    kinds = [np.float64 if dict(rows.dtypes)[c] == "double" else np.int64 for c in columns]
+
+    def pack(batches):
+        for batch in batches:
+            values = [batch.column(c).to_numpy(zero_copy_only=False).astype(k).tobytes() for c, k in zip(columns, kinds)]
+            yield pa.RecordBatch.from_arrays([pa.array([v], pa.binary()) for v in values], columns)
+
+    packed = rows.select(*columns).mapInArrow(pack, ", ".join(f"{c} binary" for c in columns))
+    for row in packed.collect():
+        yield tuple(np.frombuffer(v, k) for v, k in zip(row, kinds))
+
+
 def trusted_texts(docs: DataFrame, trusted: DataFrame) -> DataFrame:
     """packed: the texts of the documents whose key is in `trusted`, compressed before they are shuffled."""
     place = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS)).cast("int")
-    wanted = trusted.select(place.alias("p")).distinct().toPandas()["p"].to_numpy()
-    bits = np.zeros(FILTER_BITS, bool)
-    bits[wanted] = True
-    held = docs.sparkSession.sparkContext.broadcast(np.packbits(bits))
+    held = docs.sparkSession.sparkContext.broadcast(filter_bits(trusted.select(place.alias("p"))))
 
     def rows(batches):
         import zstandard
@@ -203,6 +225,16 @@ class Held:
         return hit, logs
 
 
+class Sent:
+    """What a task gets as Held: the arrays travel, and the slots are made where they arrive, not on the driver."""
+
+    def __init__(self, keys: np.ndarray, logs: np.ndarray):
+        self.keys, self.logs = keys, logs
+
+    def __reduce__(self):
+        return Held, (self.keys, self.logs)
+
+
 def train(docs: DataFrame, trusted: DataFrame) -> Tables:
     return Tables(store(count_grams(trusted_texts(docs, trusted)), "grams"))
 
@@ -213,8 +245,9 @@ def log_chances(docs: DataFrame, tables: Tables) -> DataFrame:
     A row gets a number of its own as it is written, so repeated keys stay apart. A null or empty text has no sum.
     """
     spark = docs.sparkSession
-    top = tables.chance[ORDER].orderBy(F.desc("c"), "gram").limit(FREQUENT).select("gram", F.ln("p").alias("l")).toPandas()
-    held = spark.sparkContext.broadcast(Held(top["gram"].to_numpy(np.int64), top["l"].to_numpy(float)))
+    top = tables.chance[ORDER].orderBy(F.desc("c"), "gram").limit(FREQUENT).select("gram", F.ln("p").alias("l"))
+    parts = list(zip(*packed_columns(top, ["gram", "l"]))) or [[np.zeros(0, np.int64)], [np.zeros(0)]]
+    held = spark.sparkContext.broadcast(Sent(*map(np.concatenate, parts)))
     names = ["row", "doc_id", "lang", "n", "logs", "gram", "times"]
 
     def rows(batches):
@@ -247,6 +280,7 @@ def log_chances(docs: DataFrame, tables: Tables) -> DataFrame:
 
     schema = "row long, doc_id long, lang string, n long, logs double, gram long, times long"
     scored = store(docs.select("doc_id", "lang", "text").mapInArrow(rows, schema), "log-chances")
+    held.destroy()
     rare = scored.where("gram IS NOT NULL").select("row", "gram", "times")
     known = tables.look_up(rare.select("gram").distinct())
     rare = rare.join(known, "gram").groupBy("row").agg(F.sum(F.col("times") * F.ln("p")).alias("more"))
