@@ -240,3 +240,18 @@ def test_projection_of_lists_equals_that_of_weights_in_one_shuffle_less(spark):
         np.testing.assert_allclose(vector, want[name], atol=1e-12)
     aggregates = [x._jdf.queryExecution().optimizedPlan().toString().count("Aggregate") for x in (found, features.project(fitted.corpus_weights(), key, 64))]
     assert aggregates == [1, 2]
+
+
+def test_a_term_is_stored_once_a_block_and_blocks_do_not_change_weights(spark):
+    texts = [" ".join(f"word{(i * j) % 7} line" for j in range(1, 6)) for i in range(130)] + ["", "!"]
+    docs = spark.createDataFrame([(u, i, x) for i, x in enumerate(texts) for u in "uv"] + [(None, 0, "lost words")], "user_id string, chunk_id long, text string").coalesce(1)
+    fitted, key = features.TextEncoder.fit(docs), ["user_id", "chunk_id"]
+    stored = fitted.corpus.where("user_id = 'u' AND term IS NOT NULL")
+    assert stored.count() == stored.select("kind", "term").distinct().count() > 20
+    small = features.cut_lineage(features.gram_blocks(docs, key, 100))
+    assert small.where("user_id = 'u'").select("block").distinct().count() > 3
+
+    def weights(blocks):
+        return {(r.user_id, r.chunk_id, r.kind, t.term): (round(t.weight, 9), t.code) for r in features.weigh(blocks, fitted.vocabulary, key).collect() for t in r.terms}
+
+    assert weights(small) == weights(fitted.corpus) and len(weights(small)) > 1000
