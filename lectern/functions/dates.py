@@ -10,8 +10,10 @@ from lectern.functions.common import any_case, matches
 
 
 def _date(year: Column, month: Column, day: Column) -> Column:
-    """A date from its parts, null when there is no such day."""
-    return F.try_to_date(F.format_string("%04d-%02d-%02d", year, month, day), "yyyy-MM-dd")
+    """A date from its parts, null when there is no such day. Compared, not parsed: a failed parse costs far more."""
+    leap = (year % 4 == 0) & ((year % 100 != 0) | (year % 400 == 0))
+    last = F.when(month == 2, F.when(leap, 29).otherwise(28)).when(month.isin(4, 6, 9, 11), 30).otherwise(31)
+    return F.when(month.between(1, 12) & day.between(1, last), F.make_date(year, month, day))
 
 
 def parse_date(text: Column, default_year: Column) -> Column:
@@ -22,15 +24,17 @@ def parse_date(text: Column, default_year: Column) -> Column:
         return F.regexp_extract(text, any_case(pattern), group).try_cast("int")
 
     iso = _date(*[number(V.ISO_DATE, i) for i in (1, 2, 3)])
-    year = F.coalesce(number(V.US_DATE, 3), default_year)
+    # an empty text is no number, but a cast finds that out by an exception
+    given = F.regexp_extract(text, any_case(V.US_DATE), 3)
+    year = F.coalesce(F.when(given != "", given.try_cast("int")), default_year)
     year = F.when(year < 100, year + 2000).otherwise(year)
     us = _date(year, number(V.US_DATE, 1), number(V.US_DATE, 2))
     months = F.create_map(*[F.lit(x) for i, name in enumerate(V.MONTHS, 1) for x in (name, i)])
     name = F.substring(F.lower(F.regexp_extract(text, any_case(V.MONTH_DAY), 1)), 1, 3)
     named = _date(default_year, F.try_element_at(months, name), number(V.MONTH_DAY, 2))
     return (
-        F.when(matches(text, V.ISO_DATE), iso)
-        .when(matches(text, V.US_DATE), us)
+        F.when(F.contains(text, F.lit("-")) & matches(text, V.ISO_DATE), iso)
+        .when(F.contains(text, F.lit("/")) & matches(text, V.US_DATE), us)
         .when(matches(text, V.MONTH_DAY), named)
     )
 

@@ -11,7 +11,7 @@ from lectern.functions import dates as D
 from lectern.functions import fixed_values as V
 from lectern.functions import pages as P
 from lectern.functions import text as X
-from lectern.functions.common import any_case, ascii_edges, exact_avg, first_row, let, matches, sql_round, top_rows
+from lectern.functions.common import any_case, ascii_edges, exact_avg, first_row, let, matches, once, sql_round, top_rows
 
 CHAPTERS_PER_PACK = 64
 
@@ -40,35 +40,30 @@ def schedule_lines(syllabi: DataFrame, keys: Sequence[str], default_year: int) -
     """
     text, year = F.col("text"), F.lit(default_year)
     prefixes = sorted({name[:3] for name in V.WEEKDAY_INDEX})
-    named = F.split(F.regexp_extract(text, any_case(V.MEETS_LINE), 1), "[,/ ]+")
-    days = F.slice(F.filter(named, lambda d: F.substring(F.lower(d), 1, 3).isin(prefixes)), 1, 4)
-    headed = syllabi.select(
-        *keys, "text",
-        D.parse_date(F.regexp_extract(text, any_case(V.TERM_START_LINE), 1), year).alias("term_start"),
-        D.parse_date(F.regexp_extract(text, any_case(V.TERM_END_LINE), 1), year).alias("term_end"),
-        days.alias("meeting_days"),
-        F.trim(F.regexp_extract(P.strip(text), "(?m)" + V.COURSE_CODE_LINE, 1)).alias("code"),
-    )
-    lines = headed.select(
-        *keys, "term_start", "term_end", "meeting_days", "code", F.posexplode(F.split("text", "\n")).alias("line_no", "raw")
-    ).withColumn("line", P.strip(F.col("raw"))).where(F.length("line") >= 6)
+    named = F.split(F.lower(F.regexp_extract(text, any_case(V.MEETS_LINE), 1)), "[,/ ]+")
+    days = F.slice(F.filter(named, lambda d: d.rlike("^(?:" + "|".join(prefixes) + ")")), 1, 4)
+    started = F.regexp_extract(text, any_case(V.TERM_START_LINE), 1)
+    headed = once(syllabi.select(*keys, "text", days.alias("meeting_days"), started.alias("started")), term_start=D.parse_date(F.col("started"), year))
+    lines = headed.select(*keys, "term_start", "meeting_days", F.posexplode(F.split("text", "\n")).alias("line_no", "raw"))
     line = F.col("line")
-    week = F.regexp_extract(line, any_case(V.WEEK_REF), 1).try_cast("int")
+    # each step looks at the lines that the step before left, at each of them once
+    lines = once(lines, line=P.strip(F.col("raw"))).where(F.length("line") >= 6).drop("raw")
+    lines = once(lines, aside=D.is_holiday(line) | matches(line, V.HEADER_LINE)).where("NOT aside").drop("aside")
+    lines = once(lines, stated=D.parse_date(line, F.coalesce(F.year("term_start"), year)), week=F.regexp_extract(line, any_case(V.WEEK_REF), 1))
+    week = F.when(F.col("week") != "", F.col("week").try_cast("int"))
     by_week = F.try_element_at(D.expand_week(week, F.col("term_start"), F.col("meeting_days")), F.lit(1))
-    stated = D.parse_date(line, F.coalesce(F.year("term_start"), year))
-    when = F.coalesce(stated, F.when(F.col("term_start").isNotNull() & week.isNotNull(), by_week))
-    rows = lines.withColumn("date", when).where(F.col("date").isNotNull() & ~D.is_holiday(line) & ~matches(line, V.HEADER_LINE))
-    rest = P.strip(F.regexp_replace(line, r"^[^|]*\|", ""))
-    body = F.when(rest == "", line).otherwise(rest)
-    kind = D.row_kind(line)
+    when = F.coalesce("stated", F.when(F.col("term_start").isNotNull() & (F.col("week") != ""), by_week))
+    rows = once(lines, date=when).where("date IS NOT NULL")
+    rows = once(rows, kind=D.row_kind(line), rest=P.strip(F.regexp_replace(line, r"^[^|]*\|", "")))
+    kind, body = F.col("kind"), F.when(F.col("rest") == "", line).otherwise(F.col("rest"))
     item = (
         F.when(kind == "exam", F.when(matches(line, r"\bfinal\b"), "final").otherwise("midterm"))
         .when(kind == "due", F.when(matches(line, r"\b(paper|essay)\b"), "paper").otherwise("problem_set"))
         .otherwise("meeting")
     )
-    low = (kind == "exam") | ((kind == "lecture") & matches(line, V.WEEK_REF))
+    low = (kind == "exam") | ((kind == "lecture") & (F.col("week") != ""))
     return rows.select(
-        *keys, "line_no", "date", kind.alias("kind"), item.alias("item"),
+        *keys, "line_no", "date", "kind", item.alias("item"),
         F.substring(body, F.lit(1), F.when(kind == "lecture", 120).otherwise(60)).alias("title"), body.alias("covers"),
         F.when(low, "low").otherwise("high").alias("confidence"),
     )

@@ -396,3 +396,33 @@ def test_intermediate_tables_are_columnar_files(spark):
     kept = session.cut_lineage(rows)
     assert kept.inputFiles() and all(f.endswith(".parquet") for f in kept.inputFiles())
     assert sorted(kept.collect()) == sorted(rows.collect())
+
+
+def _plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_syllabus_lines_are_matched_once(spark):
+    from lectern.operators import syllabus as Y
+
+    text = "Term starts: 1999-01-12\nMeets: Tue, Thurs\n  9/14/00 | Supply  \nWeek 2 | Demand\nOct 0 | Problem set due\nsep 31 | none\n2/29/1900 | none\nFeb 29 | none\n2/29 | no class"
+    rows = Y.schedule_lines(spark.createDataFrame([(1, text)], "doc_id long, text string"), ["doc_id"], 1998)
+    found = sorted((r.line_no, str(r.date), r.covers, r.confidence) for r in rows.collect())
+    assert found == [(2, "2000-09-14", "Supply", "high"), (3, "1999-01-19", "Demand", "low")]
+    # filters used to copy every expression below them
+    assert _plan(rows).count(r"^\s+|\s+$") <= 2 and _plan(rows).count("thanksgiving") == 1
+
+
+def test_edges_before_word_characters_look_back_only():
+    import re
+
+    from lectern.functions import fixed_values as V
+    from lectern.functions.common import EDGE, ascii_edges
+
+    said = "on 3/4, x9/14 9/14/99 week 3 aweek 4 Week 5, é12-12 1998-01-02a 1998-01-02 sep 31 holidays holiday. (ch. 4) achm 5 the rate"
+    shortened = 0
+    for pattern in (p for n, p in vars(V).items() if isinstance(p, str) and r"\b" in p and r"\p" not in p):
+        short, whole = ascii_edges(pattern), re.sub(r"\\b", lambda _: EDGE, pattern)
+        shortened += short != whole
+        assert [m.span() for m in re.finditer(short, said, re.A | re.I)] == [m.span() for m in re.finditer(whole, said, re.A | re.I)]
+    assert shortened > 10 and ascii_edges(r"\ba?b|\b(?:x|-y)|\b\d*") == EDGE + "a?b|" + EDGE + "(?:x|-y)|" + EDGE + r"\d*"
