@@ -78,24 +78,30 @@ PAYLOAD = (
 
 def payload_rows(payloads: DataFrame, keys: Sequence[str], default_year: int, column: str = "payload") -> DataFrame:
     """Typed rows of JSON extraction payloads: section, position, date, kind, title, weight, confidence."""
-    parsed = payloads.select(*keys, F.from_json(column, PAYLOAD).alias("p"))
-    start = D.parse_date(F.col("p.course.term_start"), F.lit(default_year))
-    parsed = parsed.withColumn("year", F.coalesce(F.year(start), F.lit(default_year)))
-    m = parsed.select(*keys, "year", F.posexplode("p.meetings").alias("pos", "m")).select(
-        *keys, F.lit("meeting").alias("section"), "pos", D.parse_date(F.col("m.date"), F.col("year")).alias("date"),
-        F.lit("lecture").alias("kind"), F.coalesce("m.topic", F.lit("")).alias("title"), F.lit(0.0).alias("weight"),
-        F.coalesce("m.confidence", F.lit("high")).alias("confidence"),
-    )
-    m = m.where((F.trim("title") != "") & ~D.is_holiday(F.col("title")))
-    kind = F.replace(F.lower(F.coalesce("a.kind", F.lit("quiz"))), F.lit(" "), F.lit("_"))
-    a = parsed.select(*keys, "year", F.posexplode("p.assessments").alias("pos", "a")).select(
-        *keys, F.lit("assessment").alias("section"), "pos", D.parse_date(F.col("a.date"), F.col("year")).alias("date"),
-        F.when(kind.isin(V.ASSESSMENT_KINDS), kind).otherwise("quiz").alias("kind"), F.coalesce("a.title", F.lit("")).alias("title"),
-        F.coalesce(F.col("a.weight").try_cast("double"), F.lit(0.0)).alias("weight"),
-        F.coalesce("a.confidence", F.lit("high")).alias("confidence"),
+    parsed = once(payloads.select(*keys, column), p=F.from_json(column, PAYLOAD))
+    parsed = once(parsed, start=D.parse_date(F.col("p.course.term_start"), F.lit(default_year)))
+
+    def entry(section: str, x: Column, pos: Column, kind: Column, title: Column, weight: Column) -> Column:
+        return F.struct(
+            F.lit(section).alias("section"), pos.alias("pos"), x["date"].alias("said"), kind.alias("kind"), F.coalesce(title, F.lit("")).alias("title"),
+            weight.alias("weight"), F.coalesce(x["confidence"], F.lit("high")).alias("confidence"),
+        )
+
+    # both sections leave the payload together, so it is made and parsed once
+    m = F.transform("p.meetings", lambda x, i: entry("meeting", x, i, F.lit("lecture"), x["topic"], F.lit(None).cast("string")))
+    a = F.transform("p.assessments", lambda x, i: entry("assessment", x, i, x["kind"], x["title"], x["weight"]))
+    year = F.coalesce(F.year("start"), F.lit(default_year)).alias("year")
+    rows = parsed.select(*keys, year, F.inline(F.flatten(F.array_compact(F.array(m, a)))))
+    rows = once(rows, date=D.parse_date(F.col("said"), F.col("year")))
+    met, titled = F.col("section") == "meeting", F.trim("title") != ""
+    rows = rows.where(F.when(met, titled & ~D.is_holiday(F.col("title"))).otherwise(titled | F.col("date").isNotNull()))
+    kind = F.replace(F.lower(F.coalesce("kind", F.lit("quiz"))), F.lit(" "), F.lit("_"))
+    # a text without a digit is a number only by name; a cast finds out by an exception
+    number = F.when(F.col("weight").rlike(r"(?i)[0-9]|inf|nan"), F.col("weight").try_cast("double"))
+    return rows.select(
+        *keys, "section", "pos", "date", F.when(met, "lecture").when(kind.isin(V.ASSESSMENT_KINDS), kind).otherwise("quiz").alias("kind"),
+        "title", F.coalesce(number, F.lit(0.0)).alias("weight"), "confidence",
     )
-    a = a.where((F.trim("title") != "") | F.col("date").isNotNull())
-    return m.unionByName(a)
 
 
 # --- comparison of two extractions -------------------------------------------------------------

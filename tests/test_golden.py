@@ -413,6 +413,20 @@ def test_syllabus_lines_are_matched_once(spark):
     assert _plan(rows).count(r"^\s+|\s+$") <= 2 and _plan(rows).count("thanksgiving") == 1
 
 
+def test_payloads_are_parsed_once(spark):
+    from lectern.operators import syllabus as Y
+
+    payload = '{"course": {"term_start": "1997-02-05"}, "meetings": [{"date": "3/4", "topic": "Supply"}, {"topic": "  "}, {"topic": "spring break"}], "assessments": [{"date": "1997-05-01", "kind": "Problem Set", "weight": "0.25", "title": ""}, {"weight": "a lot", "title": "Item"}, {"title": ""}, {"weight": "NaN", "title": "x"}]}'
+    docs = spark.createDataFrame([(1, payload), (2, '{"assessments": [{"title": "alone", "weight": "1e1"}]}'), (3, "{}"), (4, None)], "doc_id long, payload string")
+    rows = Y.payload_rows(docs, ["doc_id"], 1998)
+    found = sorted((r.doc_id, r.section, r.pos, str(r.date), r.kind, r.title, str(r.weight)) for r in rows.collect())
+    assert found == [
+        (1, "assessment", 0, "1997-05-01", "problem_set", "", "0.25"), (1, "assessment", 1, "None", "quiz", "Item", "0.0"), (1, "assessment", 3, "None", "quiz", "x", "nan"),
+        (1, "meeting", 0, "1997-03-04", "lecture", "Supply", "0.0"), (2, "assessment", 0, "None", "quiz", "alone", "10.0"),
+    ]
+    assert _plan(rows).count("from_json") == 1
+
+
 def test_edges_before_word_characters_look_back_only():
     import re
 
