@@ -58,6 +58,11 @@ def test_clauses_begin_at_whole_words(spark):
     assert len(whole["subqueries"]) == 1 and [s["text"] for s in split["subqueries"]] == ["taxes", "subsidies"]
 
 
+def test_clauses_lose_an_and_that_begins_a_line(spark):
+    (d,) = values(spark, ["markets clear?\nand how taxes, \n\nwhat rationing"], X.decompose(F.col("x")))
+    assert [s["text"] for s in d["subqueries"]] == ["markets clear", "taxes", "rationing"]
+
+
 def test_link_reads_a_number_after_an_accent(spark):
     chapters = [("u", "c", "s", 7, "Markets"), ("u", "c", "s", 14, "Markets")]
     chapters = spark.createDataFrame(chapters, "user_id string, course_id string, source_id string, chapter_num int, title string")
