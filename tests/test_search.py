@@ -1,5 +1,7 @@
 """Scoped dense search, features and hybrid search against brute force."""
 
+import re
+from collections import Counter
 from dataclasses import replace
 
 import numpy as np
@@ -255,3 +257,26 @@ def test_a_term_is_stored_once_a_block_and_blocks_do_not_change_weights(spark):
         return {(r.user_id, r.chunk_id, r.kind, t.term): (round(t.weight, 9), t.code) for r in features.weigh(blocks, fitted.vocabulary, key).collect() for t in r.terms}
 
     assert weights(small) == weights(fitted.corpus) and len(weights(small)) > 1000
+
+
+def test_features_of_a_block_equal_those_counted_text_by_text(spark):
+    """A text of blank lines has no features; letters may be of any alphabet, and pieces and pairs repeat within a text."""
+    texts = ["aaaaa aaaaa aaaaa", "\n", "été ba\u0000na\u0000 𝒳𝒳𝒳y", "budget line budget line", "字典の文字 a", "-"]
+    docs = spark.createDataFrame([("u", i, x) for i, x in enumerate(texts)], "user_id string, chunk_id long, text string").coalesce(1)
+    want = Counter()
+    for i, text in enumerate(texts):
+        words = re.findall(r"\w{2,}", text.replace("é", "e"))
+        want.update((i, "word", term) for term in [*words, *map(" ".join, zip(words, words[1:]))])
+        want.update((i, "char", f" {w} "[at : at + k]) for w in re.split(r"\s+", text) if w for k in (3, 4, 5) for at in range(len(w) + 3 - k))
+    blocks = features.gram_blocks(docs, ["user_id", "chunk_id"]).collect()
+    terms = {r.place: (r.kind, r.term) for r in blocks if r.place is not None}
+    found = Counter()
+    for r in blocks:
+        if r.places is not None and r.n:
+            places, counts = (features._unpacked(bytes(x), r.n) for x in (r.places, r.counts))
+            found.update({(r.chunk_id, *terms[p]): int(n) for p, n in zip(np.cumsum(places), counts)})
+    assert found == want and len({x[1:] for x in want}) == len(terms)
+    for r in (r for r in blocks if r.place is not None):
+        mine = [n for (_, kind, term), n in want.items() if (kind, term) == (r.kind, r.term)]
+        assert (r.df, r.total) == (len(mine), sum(mine))
+    assert {r.chunk_id for r in features.tfidf_weights(docs).collect()} == {0, 2, 3, 4, 5}
