@@ -1,6 +1,7 @@
 """Scoped dense search, features and hybrid search against brute force."""
 
 import re
+import tracemalloc
 from collections import Counter
 from dataclasses import replace
 
@@ -280,3 +281,16 @@ def test_features_of_a_block_equal_those_counted_text_by_text(spark):
         mine = [n for (_, kind, term), n in want.items() if (kind, term) == (r.kind, r.term)]
         assert (r.df, r.total) == (len(mine), sum(mine))
     assert {r.chunk_id for r in features.tfidf_weights(docs).collect()} == {0, 2, 3, 4, 5}
+
+
+def test_signs_of_a_text_are_added_up_without_being_written_out():
+    rng = np.random.default_rng(3)
+    codes, values, word = rng.integers(-(2**63), 2**63, 4000), rng.random(4000), rng.random(4000) < 0.3
+    tracemalloc.start()
+    found = features._turned(word, values, codes, 1000, False)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    signs = np.unpackbits(features._sign_bytes(codes, 1000), axis=1, bitorder="little")[:, :1000] * 2.0 - 1.0
+    unit = values / np.where(word, np.linalg.norm(values[word]), np.linalg.norm(values[~word]))
+    np.testing.assert_allclose(found, unit @ signs / np.sqrt(1000), atol=1e-12)
+    assert peak < signs.nbytes / 2
