@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 from lectern.functions import fixed_values as V
 from lectern.functions import pages as P
 from lectern.functions import text as X
+from lectern.functions.common import once
 
 _RANGES = T.ArrayType(T.StructType([T.StructField("first", T.IntegerType()), T.StructField("last", T.IntegerType())]))
 
@@ -61,45 +62,49 @@ def fill_ranges(sizes: pd.Series, limit: pd.Series, overlap: pd.Series) -> pd.Se
     return pd.Series([ranges(list(s), c, o) for s, c, o in zip(sizes, limit, overlap)])
 
 
+_BLOCKS = T.ArrayType(T.StructType([*_RANGES.elementType.fields, T.StructField("equation", T.BooleanType())]))
+
+
+@F.pandas_udf(_BLOCKS)
+def line_blocks(kinds: pd.Series) -> pd.Series:
+    """Index ranges of a paragraph's lines that are one block each, from the lines' `line_kind`; no kinds are one line of prose.
+
+    An equation starts at a display line and takes the mathematical rows that follow, plus one bare equation number.
+    """
+
+    def blocks(values):
+        out, seen, inside, took = [], False, False, False
+        for i, kind in enumerate(values):
+            follows = bool(kind & 2)
+            seen = bool(kind & 1) or (seen and follows)
+            takes = bool(kind & 4) and inside
+            inside = follows and seen
+            equation = inside or takes
+            if out and out[-1]["equation"] == equation and not (took and equation):
+                out[-1]["last"] = i
+            else:
+                out.append({"first": i, "last": i, "equation": equation})
+            took = takes
+        return out or [{"first": 0, "last": 0, "equation": False}]
+
+    return pd.Series([blocks(list(v)) for v in kinds])
+
+
 def page_blocks(pages: DataFrame, keys: Sequence[str], text: str = "text") -> DataFrame:
     """(keys, para, block, kind, body): paragraphs with their display equations lifted out.
 
-    Within a paragraph an equation starts at a display line and takes the mathematical rows that
-    follow, plus one bare equation number. Runs of such rows are found by their change of state, so
-    no line looks further than its neighbour.
+    A paragraph's lines stay in its row, so nothing is shuffled; only their kinds, small numbers, pass Python.
     """
     paras = pages.select(*keys, F.posexplode(F.split(text, r"\n\s*\n")).alias("para", "para_text"))
-    paras = paras.withColumn("para_text", P.strip(F.col("para_text"))).where("para_text <> ''")
-    split = paras.withColumn("parts", F.split("para_text", "\n"))
-    lines = split.select(*keys, "para", F.size("parts").alias("n_lines"), F.posexplode("parts").alias("line_no", "line"))
-    para = Window.partitionBy(*keys, "para").orderBy("line_no")
-    line, several = F.col("line"), F.col("n_lines") > 1
-    lines = lines.withColumns(
-        {
-            "starts": several & P.display_equation(line),
-            "number": several & P.equation_number(line),
-        }
-    ).withColumn("follows", several & ~F.col("number") & P.equation_continuation(line))
-    lines = lines.withColumn("run", F.sum(F.when(F.col("follows"), 0).otherwise(1)).over(para))
-    run = Window.partitionBy(*keys, "para", "run").orderBy("line_no")
-    lines = lines.withColumn("inside", F.col("follows") & F.coalesce(F.max("starts").over(run), F.lit(False)))
-    before = F.coalesce(F.lag("inside").over(para), F.lit(False))
-    lines = lines.withColumn("takes_number", F.col("number") & before)
-    equation = F.col("inside") | F.col("takes_number")
-    lines = lines.withColumn("equation", equation)
-    was = F.lag("equation").over(para)
-    closed = F.coalesce(F.lag("takes_number").over(para), F.lit(False))
-    new = was.isNull() | (was != F.col("equation")) | (closed & F.col("equation"))
-    lines = lines.withColumn("block", F.sum(new.cast("int")).over(para) - 1)
-    blocks = lines.groupBy(*keys, "para", "block", "equation").agg(
-        F.array_sort(F.collect_list(F.struct("line_no", "line"))).alias("rows")
-    )
-    prose = P.strip(F.array_join(F.transform("rows", lambda r: r["line"]), "\n"))
-    rows = F.array_join(F.transform("rows", lambda r: P.strip(r["line"])), " ")
-    body = F.when(F.col("equation"), rows).otherwise(prose)
-    out = blocks.select(*keys, "para", "block", "equation", body.alias("body")).where("body <> ''")
-    kind = F.when(F.col("equation"), "equation").otherwise(P.block_kind(F.col("body")))
-    return out.withColumn("kind", kind).drop("equation")
+    paras = once(paras, parts=F.split(P.strip(F.col("para_text")), "\n")).drop("para_text").where((F.size("parts") > 1) | (F.col("parts")[0] != ""))
+    kinds = F.when(F.size("parts") > 1, F.transform("parts", P.line_kind)).otherwise(F.array().cast("array<int>"))
+    blocks = paras.select(*keys, "para", "parts", F.posexplode(line_blocks(kinds)).alias("block", "z"))
+    lines = F.slice("parts", F.col("z.first") + 1, F.col("z.last") - F.col("z.first") + 1)
+    rows = F.array_join(F.transform(lines, P.strip), " ")
+    body = F.when(F.col("z.equation"), rows).otherwise(P.strip(F.array_join(lines, "\n")))
+    out = once(blocks, body=body).where("body <> ''")
+    kind = F.when(F.col("z.equation"), "equation").otherwise(P.block_kind(F.col("body")))
+    return out.select(*keys, "para", F.col("block").cast("long").alias("block"), "body", kind.alias("kind"))
 
 
 def segment_blocks(segments: DataFrame, keys: Sequence[str], seg: str = "seg") -> DataFrame:
@@ -121,16 +126,15 @@ def split_prose(text: Column, limit: int, overlap: int) -> Column:
 
 
 def _grouped(rows: DataFrame, keys: Sequence[str], order: str, size: str, brk: str, limit: int, name: str) -> DataFrame:
-    """Adds the greedy group number `name` of every row of a document."""
-    packed = rows.groupBy(*keys).agg(
-        F.array_sort(F.collect_list(F.struct(order, F.col(size).alias("size"), F.col(brk).alias("brk")))).alias("packed")
-    )
-    groups = fill_groups(
-        F.transform("packed", lambda p: p["size"]), F.transform("packed", lambda p: p["brk"]), F.lit(limit)
-    )
-    numbered = packed.select(*keys, F.explode(F.arrays_zip(F.transform("packed", lambda p: p[order]).alias("o"), groups.alias("g"))).alias("z"))
-    numbered = numbered.select(*keys, F.col("z.o").alias(order), F.col("z.g").alias(name))
-    return rows.join(numbered, [*keys, order])
+    """Adds the greedy group number `name` of every row of a document.
+
+    The rows travel in the document's list and come out of it numbered, so what they are made from is worked out once.
+    """
+    others = [c for c in rows.columns if c not in (*keys, order)]
+    packed = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(order, *others))).alias("_rows"))
+    groups = fill_groups(F.transform("_rows", lambda p: p[size]), F.transform("_rows", lambda p: p[brk]), F.lit(limit))
+    out = packed.select(*keys, "_rows", groups.alias("_groups")).select(*keys, F.explode(F.arrays_zip("_rows", "_groups")).alias("_z"))
+    return out.select(*keys, *[F.col(f"_z._rows.{c}").alias(c) for c in rows.columns if c not in keys], F.col("_z._groups").alias(name))
 
 
 def parent_groups(blocks: DataFrame, keys: Sequence[str], limit: int = V.PARENT_TOKENS) -> DataFrame:

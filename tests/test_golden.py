@@ -195,6 +195,22 @@ def test_child_chunks_keep_equations_whole_and_chapters_apart(spark):
     assert sum("y = ax^2 + b (2.1)" in c.text for c in children) == 1
 
 
+def test_blocks_and_groups_are_worked_out_once(spark):
+    """Lines stay in their paragraph's row; a document's rows are dealt once and don't meet themselves in a join."""
+    rows = [(1, 1, "one\ny = ax^2 + b\n(2.1)\nz = 3\n\n  \n\ny = 2\n(4)\n(5)\n\nq\n3x_1"), (2, 1, "alone"), (3, 1, None), (4, 1, " \n ")]
+    pages = spark.createDataFrame(rows, "doc_id int, page int, text string")
+    blocks = chunking.page_blocks(pages, ["doc_id"])
+    got = sorted(tuple(r) for r in blocks.select("doc_id", "para", "block", "kind", "body").collect())
+    assert got == [
+        (1, 0, 0, "prose", "one"), (1, 0, 1, "equation", "y = ax^2 + b (2.1)"), (1, 0, 2, "equation", "z = 3"),
+        (1, 1, 0, "equation", "y = 2 (4)"), (1, 1, 1, "prose", "(5)"), (1, 2, 0, "prose", "q\n3x_1"), (2, 0, 0, "prose", "alone"),
+    ]
+    grouped = chunking.parent_groups(chunking.segment_blocks(pages, ["doc_id"], "page").withColumn("chapter_num", F.lit(1)), ["doc_id"])
+    plans = [x._jdf.queryExecution().executedPlan().toString() for x in (blocks, grouped)]
+    assert [plan.count("Exchange hashpartitioning") for plan in plans] == [0, 1]
+    assert not any("Join" in plan for plan in plans)
+
+
 def test_citation_split(spark):
     got = values(spark, ["So. [econ, Ch 2, p. 3; econ, p. 4] [note]"], answers.citation_split(F.col("x")))
     assert got == ["So. [econ, Ch 2, p. 3] [econ, p. 4] [note]"]
