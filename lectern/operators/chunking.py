@@ -117,8 +117,8 @@ def segment_blocks(segments: DataFrame, keys: Sequence[str], seg: str = "seg") -
 
 
 def split_prose(text: Column, limit: int, overlap: int) -> Column:
-    """Pieces of a prose text within `limit` tokens, cut at sentence ends."""
-    parts = X.sentences(text)
+    """Pieces of a prose text within `limit` tokens, cut at sentence ends; none of a text that is null."""
+    parts = F.when(text.isNull(), F.array().cast("array<string>")).otherwise(X.sentences(text))
     sizes = F.transform(parts, X.token_estimate)
     ranges = fill_ranges(sizes, F.lit(limit), F.lit(overlap))
     pieces = F.transform(ranges, lambda r: F.array_join(F.slice(parts, r["first"] + 1, r["last"] - r["first"] + 1), " "))
@@ -151,11 +151,11 @@ def child_chunks(
     Only prose above the budget is split; provenance is that of a child's first block.
     """
     whole = (F.col("kind") != "prose") | (F.col("tokens") <= limit)
-    short = grouped.where(whole).withColumn("pieces", F.array("body"))
-    long = grouped.where(~whole).withColumn("pieces", split_prose(F.col("body"), limit, overlap))
-    pieces = short.unionByName(long).select(
-        *keys, "parent_no", "block_no", "kind", "chapter_num", "page", F.posexplode("pieces").alias("piece", "text")
-    )
+    long = split_prose(F.when(~whole, F.col("body")), limit, overlap)
+    pieces = grouped.select(
+        *keys, "parent_no", "block_no", "kind", "chapter_num", "page",
+        F.posexplode(F.when(whole, F.array("body")).otherwise(long)).alias("piece", "text"),
+    )
     order = Window.partitionBy(*keys).orderBy("block_no", "piece")
     pieces = pieces.withColumns(
         {"piece_no": F.row_number().over(order) - 1, "size": X.token_estimate(F.col("text"))}

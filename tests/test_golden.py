@@ -206,8 +206,8 @@ def test_blocks_and_groups_are_worked_out_once(spark):
         (1, 1, 0, "equation", "y = 2 (4)"), (1, 1, 1, "prose", "(5)"), (1, 2, 0, "prose", "q\n3x_1"), (2, 0, 0, "prose", "alone"),
     ]
     grouped = chunking.parent_groups(chunking.segment_blocks(pages, ["doc_id"], "page").withColumn("chapter_num", F.lit(1)), ["doc_id"])
-    plans = [x._jdf.queryExecution().executedPlan().toString() for x in (blocks, grouped)]
-    assert [plan.count("Exchange hashpartitioning") for plan in plans] == [0, 1]
+    plans = [x._jdf.queryExecution().executedPlan().toString() for x in (blocks, grouped, chunking.child_chunks(grouped, ["doc_id"]))]
+    assert [plan.count("Exchange hashpartitioning") for plan in plans] == [0, 1, 3]
     assert not any("Join" in plan for plan in plans)
 
 
