@@ -4,14 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions import fixed_values as V
 from lectern.functions import pages as P
 from lectern.functions import text as X
-from lectern.functions.common import first_row, matches, ratio, sql_round, top_rows
+from lectern.functions.common import first_row, matches, once, ratio, sql_round, top_rows
 from lectern.operators.scans import running_sum
+from lectern.operators.syllabus import CHAPTERS_PER_PACK
 
 # --- queues and tests -----------------------------------------------------------------------
 
@@ -189,26 +190,31 @@ def import_report(problems: DataFrame, *keys: str) -> DataFrame:
 def practice_link(problems: DataFrame, chapters: DataFrame, floor: float = V.PRACTICE_LINK_FLOOR) -> DataFrame:
     """Chapter of each problem, null when no title is specific and similar enough.
 
-    A problem meets only chapters of its course that share a specific word with it: the join runs on
-    (tenant, course, word). `problems`: user_id, course_id, problem_id, topic, prompt. `chapters`:
-    user_id, course_id, source_id, chapter_num, title.
+    A problem meets the chapters of its course that share a specific word with it. They come as packed arrays, and it leaves
+    each pack with its best one, so neither words nor problem-chapter pairs become rows. `problems`: user_id, course_id,
+    problem_id, topic, prompt. `chapters`: user_id, course_id, source_id, chapter_num, title.
     """
-    key = ["user_id", "problem_id"]
+    key, course = ["user_id", "problem_id"], ["user_id", "course_id"]
     generic = X.tokens(F.lit(V.GENERIC_CHAPTER_TERMS))
 
-    def specific(words: Column) -> Column:
-        return F.array_except(words, generic)
+    def facts(text: Column) -> dict[str, Column]:
+        return {"specific": F.array_except(X.tokens(text), generic), "words": X.title_tokens(text)}
 
     query = F.concat("topic", F.lit(" "), F.substring("prompt", 1, 120))
-    asked = problems.select(*key, "course_id", X.tokens(query).alias("q_all"), X.title_tokens(query).alias("q_words"))
-    titled = chapters.select(
-        "user_id", "course_id", "source_id", "chapter_num", X.tokens(F.col("title")).alias("t_all"), X.title_tokens(F.col("title")).alias("t_words")
-    )
-    left = asked.withColumn("word", F.explode(specific(F.array_distinct("q_all")))).drop("q_all")
-    right = titled.withColumn("word", F.explode(specific(F.array_distinct("t_all")))).drop("t_all")
-    pairs = left.join(right, ["user_id", "course_id", "word"]).drop("word").dropDuplicates([*key, "source_id", "chapter_num"])
-    scored = pairs.withColumn("score", sql_round(X.set_similarity(F.col("q_words"), F.col("t_words")), 6)).where(F.col("score") >= floor)
-    best = first_row(scored, key, [F.desc("score"), F.asc("source_id"), F.asc("chapter_num")])
+    asked = once(problems.select(*key, "course_id", query.alias("query")), **facts(F.col("query"))).drop("query")
+    titled = once(chapters.select(*course, "source_id", "chapter_num", "title"), **facts(F.col("title")))
+    place = F.row_number().over(Window.partitionBy(*course).orderBy("source_id", "chapter_num")) - 1
+    entry = F.struct("source_id", "chapter_num", "specific", "words")
+    packs = titled.withColumn("pack_no", F.floor(place / CHAPTERS_PER_PACK)).groupBy(*course, "pack_no").agg(F.collect_list(entry).alias("pack"))
+
+    def scored(c: Column) -> Column:
+        score = sql_round(X.set_similarity(F.col("words"), c["words"]), 6)
+        return F.struct((-score).alias("neg"), c["source_id"].alias("source_id"), c["chapter_num"].alias("chapter_num"))
+
+    near = F.filter("pack", lambda c: F.arrays_overlap(F.col("specific"), c["specific"]))
+    best = once(asked.join(packs, course), best=F.array_min(F.transform(near, scored))).where(-F.col("best.neg") >= floor)
+    best = best.select(*key, "course_id", (-F.col("best.neg")).alias("score"), "best.source_id", "best.chapter_num")
+    best = first_row(best, key, [F.desc("score"), F.asc("source_id"), F.asc("chapter_num")])
     ref = F.concat_ws(":", "course_id", "source_id", F.col("chapter_num").cast("string"))
     return problems.select(*key).join(best.select(*key, ref.alias("chapter_ref"), "score"), key, "left")
 

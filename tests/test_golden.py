@@ -211,6 +211,19 @@ def test_blocks_and_groups_are_worked_out_once(spark):
     assert not any("Join" in plan for plan in plans)
 
 
+def test_practice_links_meet_packs_of_chapters_not_words(spark):
+    chapters = [("u", "c", s, n, f"Supply of alpha{n} and beta{n % 2}") for s in ("s1", "s2") for n in range(1, 71)]
+    problems = [("u", "c", 1, "alpha70 supply beta0", ""), ("u", "c", 2, "alpha1 beta1 supply", "x"), ("u", "c", 3, "zeta", ""), ("u", "d", 4, "alpha1", ""), ("v", "c", 5, "alpha1", "")]
+    out = practice.practice_link(
+        spark.createDataFrame(problems, "user_id string, course_id string, problem_id int, topic string, prompt string"),
+        spark.createDataFrame(chapters, "user_id string, course_id string, source_id string, chapter_num int, title string"),
+    )
+    assert {r.problem_id: r.chapter_ref for r in out.collect()} == {1: "c:s1:70", 2: "c:s1:1", 3: None, 4: None, 5: None}
+    # a row for each word of a problem and each chapter that shares one used to be shuffled
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "explode" not in plan
+
+
 def test_citation_split(spark):
     got = values(spark, ["So. [econ, Ch 2, p. 3; econ, p. 4] [note]"], answers.citation_split(F.col("x")))
     assert got == ["So. [econ, Ch 2, p. 3] [econ, p. 4] [note]"]
