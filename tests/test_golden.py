@@ -1,6 +1,7 @@
 """Golden values of single operators."""
 
 from datetime import date
+from functools import reduce
 
 import pytest
 from pyspark.sql import functions as F
@@ -279,6 +280,33 @@ def test_targets(spark):
     assert grades.solve_target(low).first().status == "impossible"
 
 
+def test_item_targets_are_worked_out_for_many_books_together(spark):
+    """Curves at their ends equal books whose scores are filled in one by one; the curves are not expressions over each book."""
+    cases = [
+        book(spark, scores, extra, rules).withColumns({"item_id": F.lit(item), "target": F.lit(85.0), "assumption": F.explode(F.array(*map(F.lit, ("same_score", "zero", "hundred"))))})
+        for scores, item in ((KNOWN, 6), ({2: 40.0, 4: 95.0, 6: 95.0}, 1), ({1: 87.0, 2: 92.0}, 3))
+        for extra in ([], [(1, 9, 2.0, None), (1, 10, 1.0, 50.0)])
+        for rules in ([], [(1, 6, "Midterms", True)], [(1, 6, "Midterms", False), (1, 4, "Final", True)])
+    ]
+    books = reduce(lambda a, b: a.unionByName(b), cases).coalesce(1).localCheckpoint()
+    found = grades.solve_item_target(books)
+    assert "MapInArrow" in found._jdf.queryExecution().optimizedPlan().toString()
+
+    def result(x):
+        others = F.when(F.col("assumption") == "zero", 0.0).when(F.col("assumption") == "hundred", 100.0).otherwise(x)
+        fill = lambda i: F.coalesce(i["score"], F.when(i["item"] == F.col("item_id"), x).otherwise(others))
+        parts = F.transform("components", lambda k: grades._with_items(k, F.transform(k["items"], lambda i: grades._item(i, fill(i)))))
+        bonus = F.transform("extra", lambda b: F.struct(b["item"].alias("item"), b["points"].alias("points"), fill(b).alias("score")))
+        return grades.course_result(parts, bonus, F.col("rules"))["projected_percent"]
+
+    checked = found.select("*", result(F.lit(0.0)).alias("low"), result(F.lit(100.0)).alias("high"), result(F.col("required_score")).alias("reached"), result(F.col("required_score") - 0.2).alias("short"))
+    rows = checked.collect()
+    assert len(rows) == 3 * len(cases) and {r.status for r in rows} >= {"achievable", "impossible"}
+    for r in rows:
+        assert r.minimum_possible == pytest.approx(r.low, abs=1e-9) and r.maximum_possible == pytest.approx(r.high, abs=1e-9)
+        assert r.status != "achievable" or (r.reached >= 85 - 1e-7 and r.short < 85)
+
+
 def test_extra_credit_and_replacement(spark):
     everything = {i: 92.0 for i in range(1, 7)}
     assert grades.gradebook(book(spark, everything, [(1, 9, 2.0, 50.0)]), ["k"]).first().projected_percent == pytest.approx(93)
