@@ -294,3 +294,18 @@ def test_signs_of_a_text_are_added_up_without_being_written_out():
     unit = values / np.where(word, np.linalg.norm(values[word]), np.linalg.norm(values[~word]))
     np.testing.assert_allclose(found, unit @ signs / np.sqrt(1000), atol=1e-12)
     assert peak < signs.nbytes / 2
+
+
+def test_a_tenant_is_searched_in_more_than_one_task(spark):
+    rows = spark.createDataFrame([("u", i, [float(x) for x in v]) for i, v in enumerate(clustered(400, 70, 1))], "user_id string, chunk_id long, embedding array<double>")
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    packs, blocks = dense.query_packs(rows.withColumnRenamed("chunk_id", "q_id"), ["user_id", "q_id"]), dense.vector_blocks(rows.coalesce(1))
+    tasks = dense.in_scope(packs, blocks).select(F.spark_partition_id().alias("task"), "b_ids", "q_keys")
+    found = tasks.collect()
+    pairs = packs.count() * blocks.count()
+    for k, v in before.items():
+        spark.conf.set(k, v)
+    assert len({r.task for r in found}) > 1 and len(found) == len({(bytes(r.b_ids), bytes(r.q_keys)) for r in found}) == pairs
